@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftwork.llm import terms
+from weftwork.llm import canonical, terms
 from weftwork.plans.references import VISIBLE
 from weftwork.sources.tables import table
 
@@ -37,7 +37,21 @@ def p4_increment(spark, folder):
     return terms.counts(counts.state()).where(F.col("field_name").isin(list(terms.TABLES)) & (F.col("records") > 0))
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
+def _mapped(spark, folder):
+    rows = canonical.typed_rows(table(spark, folder, "nodes"), table(spark, folder, "edges"))
+    return canonical.map_values(rows, table(spark, folder, "type_vocab"))
+
+
+def p3_found(spark, folder):
+    return _mapped(spark, folder).where(~F.col("exact")).select("kind", "row_key", "canonical").distinct()
+
+
+def p3_misses(spark, folder):
+    """Values that no entry explains, with their rows."""
+    return _mapped(spark, folder).where(F.col("canonical") == canonical.NONE).groupBy("kind", "value").agg(F.count("*").alias("n_rows"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
 
 
 def _terms_sql(nodes: str) -> str:
