@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftwork.llm import canonical, terms
+from weftwork.llm import canonical, leaks, splitting, terms
 from weftwork.plans.references import VISIBLE
 from weftwork.sources.tables import table
 
@@ -51,7 +51,34 @@ def p3_misses(spark, folder):
     return _mapped(spark, folder).where(F.col("canonical") == canonical.NONE).groupBy("kind", "value").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
+def p6_found(spark, folder):
+    """Requests that had to be cut: those with a second piece."""
+    return splitting.split_texts(table(spark, folder, "requests")).where("piece_no = 1").select("request_id").distinct()
+
+
+def p6_pieces(spark, folder):
+    return splitting.split_texts(table(spark, folder, "requests"))
+
+
+def _leaks(spark, folder):
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark, folder):
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark, folder):
+    return _leaks(spark, folder)
+
+
+def p8_leaked_items(spark, folder):
+    return leaks.leaked_items(_leaks(spark, folder))
+
+
+QUERIES = {
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
+    "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
 
 
 def _terms_sql(nodes: str) -> str:
@@ -65,6 +92,7 @@ def _terms_sql(nodes: str) -> str:
 
 
 ORACLE = {
+    "p6_found": f"SELECT DISTINCT request_id FROM requests WHERE regexp_matches(text, '{VISIBLE}') AND length(text) > max_chars",
     "p4_found": f"""WITH {_terms_sql("nodes")},
   total AS (SELECT 'n' AS t, count(DISTINCT graph_id) AS n FROM nodes UNION ALL SELECT 'e', count(DISTINCT graph_id) FROM edges)
   SELECT field_name, term, CASE WHEN records = 1 THEN 'rare' ELSE 'common' END AS mark
