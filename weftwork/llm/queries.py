@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftwork.llm import canonical, leaks, splitting, terms
+from weftwork.llm import canonical, leaks, splitting, terms, truncation
 from weftwork.plans.references import VISIBLE
 from weftwork.sources.tables import table
 
@@ -51,6 +51,14 @@ def p3_misses(spark, folder):
     return _mapped(spark, folder).where(F.col("canonical") == canonical.NONE).groupBy("kind", "value").agg(F.count("*").alias("n_rows"))
 
 
+def p5_found(spark, folder):
+    return truncation.cut_replies(table(spark, folder, "replies")).where("cut").select("graph_id", "attempt").distinct()
+
+
+def p5_report(spark, folder):
+    return truncation.cut_report(truncation.cut_replies(table(spark, folder, "replies")))
+
+
 def p6_found(spark, folder):
     """Requests that had to be cut: those with a second piece."""
     return splitting.split_texts(table(spark, folder, "requests")).where("piece_no = 1").select("request_id").distinct()
@@ -77,6 +85,7 @@ def p8_leaked_items(spark, folder):
 
 
 QUERIES = {
+    "p5_found": p5_found, "p5_report": p5_report,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
     "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
 
