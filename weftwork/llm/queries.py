@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftwork.llm import canonical, leaks, splitting, terms, truncation
+from weftwork.llm import canonical, leaks, names, splitting, terms, truncation
 from weftwork.plans.references import VISIBLE
 from weftwork.sources.tables import table
 
@@ -37,6 +37,18 @@ def p4_increment(spark, folder):
     return terms.counts(counts.state()).where(F.col("field_name").isin(list(terms.TABLES)) & (F.col("records") > 0))
 
 
+def _entities(spark, folder):
+    return names.entities(table(spark, folder, "nodes"), table(spark, folder, "type_vocab"))
+
+
+def p1_found(spark, folder):
+    return names.variant_pairs(_entities(spark, folder))
+
+
+def p1_spellings(spark, folder):
+    return names.canonical_spellings(_entities(spark, folder))
+
+
 def _mapped(spark, folder):
     rows = canonical.typed_rows(table(spark, folder, "nodes"), table(spark, folder, "edges"))
     return canonical.map_values(rows, table(spark, folder, "type_vocab"))
@@ -85,6 +97,7 @@ def p8_leaked_items(spark, folder):
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_spellings": p1_spellings,
     "p5_found": p5_found, "p5_report": p5_report,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
     "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
