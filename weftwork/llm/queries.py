@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftwork.llm import canonical, leaks, names, splitting, terms, truncation
+from weftwork.llm import canonical, leaks, names, packing, quality, splitting, terms, truncation
 from weftwork.plans.references import VISIBLE
 from weftwork.sources.tables import table
 
@@ -80,6 +80,27 @@ def p6_pieces(spark, folder):
     return splitting.split_texts(table(spark, folder, "requests"))
 
 
+def p7_containers(spark, folder):
+    return packing.containers(packing.token_items(table(spark, folder, "documents")))
+
+
+def p7_fill(spark, folder):
+    return packing.fill(p7_containers(spark, folder))
+
+
+def p9_found(spark, folder):
+    kinds = quality.kinds_of_text(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+    return quality.not_prose(kinds).select("doc_id").distinct()
+
+
+def p9_kinds(spark, folder):
+    return quality.kinds_of_text(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p9_statistics(spark, folder):
+    return quality.rules(quality.statistics(table(spark, folder, "documents"), table(spark, folder, "common_words")))
+
+
 def _leaks(spark, folder):
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -97,6 +118,7 @@ def p8_leaked_items(spark, folder):
 
 
 QUERIES = {
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics,
     "p1_found": p1_found, "p1_spellings": p1_spellings,
     "p5_found": p5_found, "p5_report": p5_report,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
@@ -113,7 +135,26 @@ def _terms_sql(nodes: str) -> str:
     FROM words WHERE term IS NOT NULL AND regexp_matches(term, '{VISIBLE}') GROUP BY 1, 2)"""
 
 
+_SPACE = r"[ \t\n\x{0B}\f\r]"
+_BULLET = r"^[ \t\n\x{0B}\f\r]*(?:[-*•·▪+–]|[0-9]{1,3}[.)]|\[[ xX*]?\])[ \t\n\x{0B}\f\r]"
+_REASONS = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in quality.RULES)
+
 ORACLE = {
+    "p9_statistics": rf"""WITH split AS (
+    SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '') AS words,
+      list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_matches(x, '[^ \t\n\x{{0B}}\f\r]')) AS lines
+    FROM documents WHERE text IS NOT NULL),
+  listed AS (SELECT list(DISTINCT lower(word)) AS l FROM common_words),
+  stats AS (SELECT doc_id, length(text) AS n_chars, len(words) AS n_words,
+      coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+      len(list_filter(words, lambda w: regexp_matches(w, '\p{{L}}'))) AS n_alpha_words,
+      len(regexp_extract_all(text, '#')) + len(regexp_extract_all(text, '\.\.\.|…')) AS n_symbols,
+      len(lines) AS n_lines,
+      len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？]["''”’)»]*{_SPACE}*$'))) AS n_line_ends,
+      len(list_filter(lines, lambda x: regexp_matches(x, '{_BULLET}'))) AS n_bullets,
+      len(list_filter(words, lambda w: list_contains(l, regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))) AS n_common
+    FROM split, listed)
+  SELECT *, concat_ws(',', {_REASONS}) AS reasons FROM stats""",
     "p6_found": f"SELECT DISTINCT request_id FROM requests WHERE regexp_matches(text, '{VISIBLE}') AND length(text) > max_chars",
     "p4_found": f"""WITH {_terms_sql("nodes")},
   total AS (SELECT 'n' AS t, count(DISTINCT graph_id) AS n FROM nodes UNION ALL SELECT 'e', count(DISTINCT graph_id) FROM edges)
