@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.model import ERROR, WARNING
+from weftwork.functions.variants import field, is_string, items, js_string
+from weftwork.model import EDGE, ERROR, NODE, WARNING
 
 
 def _map(name: str, value: Column) -> Column:
@@ -192,3 +193,46 @@ def flat_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         part = counted(rows, name).withColumnRenamed("graph_id", "__g")
         out = out.join(part, out["graph_id"].eqNullSafe(part["__g"]), "left").drop("__g")
     return out.fillna(0, list(parts)).withColumn("valid", F.col("n_errors") == 0)
+
+
+#: Marks an id that was no string in raw JSON, so that 1 and "1" stay different.
+_TYPED = "\x00"
+
+
+def raw_graph_column(v: Column) -> Column:
+    """A graph of strings from unnormalised JSON; ids that are no strings carry a mark.
+
+    False, 0, '' and null are no ids. Items that are no objects count as items
+    without id. Lists that are no lists are empty.
+    """
+
+    def key(value):
+        falsy = F.to_json(value).isin("false", "0", "-0", "0.0", '""')
+        return F.when(is_string(value), F.try_variant_get(value, "$", "string")).when(falsy, "").otherwise(F.concat(F.lit(_TYPED), js_string(value, 1)))
+
+    def item(x, ids, others, target):
+        made = F.struct(*(key(field(x, n)).alias(n) for n in ids), *(js_string(field(x, n), 0).alias(n) for n in others), field(x, "metadata").alias("metadata"))
+        return made.cast(target)
+
+    nodes = F.transform(items(v, "nodes"), lambda x: item(x, ("id",), ("label", "type"), NODE))
+    edges = F.transform(items(v, "edges"), lambda x: item(x, ("id", "source", "target"), ("type", "label"), EDGE))
+    return F.when(v.isNotNull(), F.struct(nodes.alias("nodes"), edges.alias("edges")))
+
+
+def validate_raw(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``report`` (``valid, errors, warnings, n_nodes, n_edges``) of unnormalised JSON in a VARIANT column.
+
+    The marks are removed from messages. A value that is null has no report.
+    """
+    # columns of their own: the reading and the check each use their input many times
+    checked = df.withColumn("__graph", raw_graph_column(F.col(value))).withColumn("__v", validate_column(F.col("__graph")))
+
+    def clean(findings):
+        return F.transform(findings, lambda f: F.struct(f["type"].alias("type"), F.replace(f["message"], F.lit(_TYPED), F.lit("")).alias("message")))
+
+    v = F.col("__v")
+    report = F.struct(
+        v["valid"].alias("valid"), clean(v["errors"]).alias("errors"), clean(v["warnings"]).alias("warnings"),
+        F.size(v["graph"]["nodes"]).alias("n_nodes"), F.size(v["graph"]["edges"]).alias("n_edges"),
+    )
+    return checked.withColumn("report", F.when(v.isNotNull(), report)).drop("__graph", "__v")
