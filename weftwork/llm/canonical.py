@@ -119,6 +119,8 @@ class Lexicon:
 
     def __init__(self, names):
         self.entries = [(squash(name), canonical, frequency) for name, canonical, frequency in names if name and squash(name)]
+        #: A longer value has no name within two edits.
+        self.longest = max((len(name) for name, _, _ in self.entries), default=0) + 2
         self.index: dict[str, list[int]] = defaultdict(list)
         for k, (name, _, _) in enumerate(self.entries):
             for rest in remains(name, allowed(len(name))):
@@ -126,7 +128,7 @@ class Lexicon:
         self.find = lru_cache(maxsize=100_000)(self._find)
 
     def __getstate__(self):
-        return {"entries": self.entries, "index": self.index}
+        return {"entries": self.entries, "longest": self.longest, "index": self.index}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -135,6 +137,8 @@ class Lexicon:
     def _find(self, value: str) -> str:
         best, said = math.inf, NONE
         for form in forms(value):
+            if len(form) > self.longest:
+                continue
             for k in {k for rest in remains(form, 2) for k in self.index.get(rest, ())}:
                 name, canonical, frequency = self.entries[k]
                 limit = allowed(len(name))
@@ -207,6 +211,7 @@ def map_distinct(rows: DataFrame, names: DataFrame) -> DataFrame:
     seen = rows.join(names.select("kind", F.col("canonical").alias("value")).distinct(), ["kind", "value"], "left_semi")
     seen = seen.groupBy("kind", F.col("value").alias("canonical")).agg(F.count("*").alias("frequency"))
     names = names.join(seen, ["kind", "canonical"], "left").fillna(0, ["frequency"])
+    longest = (names.agg(F.max(F.length("name"))).first()[0] or 0) + 2
 
     @F.pandas_udf("array<struct<form string, rest string>>")
     def of_name(name: pd.Series) -> pd.Series:
@@ -214,7 +219,7 @@ def map_distinct(rows: DataFrame, names: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<form string, rest string>>")
     def of_value(value: pd.Series) -> pd.Series:
-        return value.map(lambda v: [{"form": s, "rest": r} for s in forms(v or "") for r in sorted(remains(s, 2))])
+        return value.map(lambda v: [{"form": s, "rest": r} for s in forms(v or "") if len(s) <= longest for r in sorted(remains(s, 2))])
 
     @F.pandas_udf("double")
     def cost(name: pd.Series, form: pd.Series, frequency: pd.Series) -> pd.Series:

@@ -210,10 +210,13 @@ def pairs_of(text: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
-def is_salad(text: str, common: frozenset[str], known: frozenset[str], least: int = 12, share: float = 0.3) -> bool:
-    """Words that form no sentences: few neighbours that the corpus knows, hardly a stop or comma, and articles without a noun."""
+def is_salad(text: str, common: frozenset[str], known: frozenset[str], least: int = 12, share: float = 0.3, enough: int = 500) -> bool:
+    """Words that form no sentences: few neighbours that the corpus knows, hardly a stop or comma, and articles without a noun.
+
+    A corpus too small to know ``enough`` pairs decides nothing.
+    """
     pairs = pairs_of(text)
-    if len(pairs) < least or not known or sum(p in known for p in pairs) >= share * len(pairs):
+    if len(pairs) < least or len(known) < enough or sum(p in known for p in pairs) >= share * len(pairs):
         return False
     if 25 * len(re.findall(r"[.!?,;:](?=\s+\S)", text)) > len(pairs):
         return False

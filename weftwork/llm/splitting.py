@@ -10,7 +10,7 @@ them. The next piece starts the overlap before the end of the last.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -88,7 +88,7 @@ def pieces(text: str, limit: int, overlap: int = 0, prefix: np.ndarray | None =
         if prefix is None:
             start = end - overlap
         else:
-            back = bisect_left(prefix, prefix[end] - overlap) if overlap else end
+            back = bisect_right(prefix, prefix[end] - overlap) - 1 if overlap else end  # where that token begins
             start = back if back > start else end
     return [*out, (start, n, "end")]
 

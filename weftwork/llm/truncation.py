@@ -28,7 +28,7 @@ _MARKS = re.compile(r"(?:\s|�|…|\.\.\.|\[truncated\])+$")
 _FENCE_END = re.compile(r"\s*```\s*$")
 #: What JSON goes on with behind a bracket.
 _GOES_ON = (",", ":", '"', "'", "{", "[")
-_BODY_END = re.compile(r"\]\s*\}")
+_BODY_END = re.compile(r"[\"'}\[,]\s*\]\s*\}")
 
 
 def json_end(text: str, start: int) -> int:
