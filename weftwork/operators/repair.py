@@ -15,7 +15,10 @@ from weftwork.functions.text import JS_SPACE, SPACES, js_trim
 _FENCE = r"(?s)^```(?:json)?{s}*(.*?){s}*```$".replace("{s}", f"[{JS_SPACE}]")
 _TRAILING = rf",([{JS_SPACE}]*[}}\]])"
 _PLAIN_SPACE = "".join(map(chr, (*range(0x09, 0x0E), *SPACES, 0xFEFF)))
-_BRACKETS = re.compile(r'[\\"{}\[\]]')
+# Strings, hidden characters and everything else up to the next bracket, in one step.
+_SKIP = r'''(?:[^"\\{}\[\]]++|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\\.)*+'''
+_TO_BRACKET = re.compile(_SKIP + r"([{}\[\]])", re.DOTALL)
+_TO_END = re.compile(_SKIP, re.DOTALL)
 
 
 def first_bracket(text: str) -> int:
@@ -24,27 +27,21 @@ def first_bracket(text: str) -> int:
     return m.start() if m else -1
 
 
-def scan(text: str, start: int = 0) -> tuple[int, bool, int]:
+def scan(text: str, start: int = 0, to_end: bool = False) -> tuple[int, bool, int]:
     """(end, in string, depth) of the bracket that opens at ``start``.
 
     The end is behind the bracket that closes it, or -1. Brackets within strings do
     not count, their kinds need not match, and a backslash hides the next character
-    anywhere.
+    anywhere. With ``to_end`` the scan goes on to the end of the text.
     """
-    depth, quoted, hidden = 0, False, -1
-    for m in _BRACKETS.finditer(text, start):
-        at, c = m.start(), m.group()
-        if at == hidden:
-            continue
-        if c == "\\":
-            hidden = at + 1
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted:
-            depth += 1 if c in "{[" else -1
-            if depth == 0:
-                return at + 1, False, 0
-    return -1, quoted, depth
+    depth, at = 0, start
+    while m := _TO_BRACKET.match(text, at):
+        at = m.end()
+        depth += 1 if m.group(1) in "{[" else -1
+        if depth == 0 and not to_end:
+            return at, False, 0
+    rest = _TO_END.match(text, at).end()
+    return -1, text[rest : rest + 1] == '"', depth
 
 
 def balanced(text: str) -> str:
@@ -59,17 +56,7 @@ def looks_truncated(raw: str) -> bool:
     text = raw.strip(_PLAIN_SPACE)
     if text[:1] not in ("{", "["):
         return False
-    depth, quoted, hidden = 0, False, -1
-    for m in _BRACKETS.finditer(text):
-        at, c = m.start(), m.group()
-        if at == hidden:
-            continue
-        if c == "\\":
-            hidden = at + 1
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted:
-            depth += 1 if c in "{[" else -1
+    _, quoted, depth = scan(text, 0, to_end=True)
     return quoted or depth > 0
 
 
