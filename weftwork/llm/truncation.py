@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.operators.repair import scan
 from weftwork.session import cut_lineage
 
 #: What is put behind a cut.
@@ -31,26 +32,6 @@ _GOES_ON = (",", ":", '"', "'", "{", "[")
 _BODY_END = re.compile(r"[\"'}\[,]\s*\]\s*\}")
 
 
-def json_end(text: str, start: int) -> int:
-    """Behind the bracket that closes the one at ``start``, or -1. Brackets in strings do not count."""
-    depth = 0
-    quoted = False
-    skip = -1
-    for m in re.finditer(r'[\\"{}\[\]]', text[start:]):
-        at, c = m.start(), m.group()
-        if at == skip:
-            continue
-        if c == "\\":
-            skip = at + 1
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted:
-            depth += 1 if c in "{[" else -1
-            if depth == 0:
-                return start + at + 1
-    return -1
-
-
 def ending(raw: str) -> tuple[str, str]:
     """(state, last value): how a reply ends and the prose to look for elsewhere.
 
@@ -72,7 +53,7 @@ def ending(raw: str) -> tuple[str, str]:
             return "ended", core
         return "prose", core
     fenced = "```" in core[:at]
-    end = json_end(core, at)
+    end = scan(core, at)[0]
     rest = core[end:].lstrip(" \t\r\n}]") if end > 0 else ""
     if end < 0 or rest[:1] in _GOES_ON:
         ends = [m.end() for m in _BODY_END.finditer(core, at)]  # ill-formed: look for where the lists close
