@@ -39,6 +39,11 @@ _PIECE = re.compile(
 _JOIN = frozenset("'’‘ʼ`´")
 
 
+_HYPHENS = frozenset("-\u2010\u2011\u00ad")
+#: A hyphen within a word, with a line break and quote marks behind it or without.
+_HYPHEN = re.compile(r"[-\u2010\u2011\u00ad](?:[ \t]*\r?\n[ \t>|:*]*)?")
+
+
 def normal_words(text: str) -> list[tuple[str, int, int, bool]]:
     """(normalised word, start, end, joined to the one before) in order.
 
@@ -64,10 +69,11 @@ def normal_words(text: str) -> list[tuple[str, int, int, bool]]:
             word, joined = char, start == last
         else:
             word, joined = m.group(), glue and start == last
-        joined = joined or bool(last >= 0 and re.fullmatch(r"[-‐‑­](?:[ \t]*\r?\n[ \t>|:*]*)?", between))
+        joined = joined or (between[:1] in _HYPHENS and bool(_HYPHEN.fullmatch(between)))
         glue = False
         folded = word.lower() if word.isascii() else unicodedata.normalize("NFKC", word).casefold()
-        folded = "".join(c for c in folded if c.isalnum())
+        if not folded.isalnum():
+            folded = "".join(filter(str.isalnum, folded))
         if folded:
             out.append((folded, start, end, joined))
             last = end
