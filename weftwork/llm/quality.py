@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import html
 import re
-import unicodedata
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,14 +98,19 @@ _END = re.compile(r"[.!?…。！？؟।:,][\"'”’)»\]]*\s*$|[.!?…][\"'
 _STOP = re.compile(r"[.!?…。！？؟।][\"'”’)»\]]*(?:\s|$)")
 _NUMBER = re.compile(r"(?<!\w)[-+$€£]?\d+(?:[.,:/]\d+)*%?(?!\w)")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
-_SIGNS = frozenset(("Sc", "So", "Sm", "Sk", "Pf", "Pi", "No", "Cc", "Cn"))
+_SIGNS = regex.compile(r"[\p{Sc}\p{So}\p{Sm}\p{Sk}\p{Pf}\p{Pi}\p{No}\p{Cc}\p{Cn}]")
 #: Marks of things counted or ordered: an amount, a part number, a remark in brackets, a container.
 _STOCK = re.compile(r"(?:^|\s)x ?\d+$|\b[A-Z]{1,4}-\d+|\([^()]*\)$|^(?:to be \w+:|(?:set|pair|bit|box|lot) of\b)")
 #: Words that need a noun after them.
 _DETERMINERS = frozenset("the a an my your our its his their der die das den dem des ein eine le la les un une des du mon el los las una mi su".split())
+_CLEAN = re.compile(r"[\"'“”‘’(\[«¿¡*_]*[^\W\d_]+(?:['’/-][^\W\d_]+)*[.,;:!?…)\]\"'“”‘’»*_]*")
+_HEX = re.compile(r"[0-9a-fA-F]{2}|[0-9a-fA-F]{4}|[0-9a-fA-F]{8}")
 _VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôûæøåœëïãõıаеёиоуыэюяіїєαεηιουω")
 
+_NO_VOWELS = dict.fromkeys(map(ord, _VOWELS))
 
+
+@lru_cache(maxsize=200_000)
 def _odd(word: str) -> bool:
     """A word that no language would write: no vowel, a long run of consonants, or one letter over and over."""
     low = word.lower()
@@ -112,7 +118,22 @@ def _odd(word: str) -> bool:
         return False
     if len(low) >= 4 and (not _VOWELS & set(low) or _CONSONANTS.search(low)):
         return True
-    return len(low) >= 6 and sum(c in _VOWELS for c in low) / len(low) < 0.2
+    return len(low) >= 6 and _n_vowels(low) / len(low) < 0.2
+
+
+def _n_vowels(text: str) -> int:
+    return len(text) - len(text.translate(_NO_VOWELS))
+
+
+@lru_cache(maxsize=200_000)
+def _is_clean(piece: str) -> bool:
+    """A word with nothing but usual punctuation around it."""
+    return bool(_CLEAN.fullmatch(piece))
+
+
+def _visible(text: str) -> int:
+    """Characters that are no blanks."""
+    return len("".join(text.split()))
 
 
 def line_kind(line: str, common: frozenset[str]) -> str:
@@ -129,7 +150,7 @@ def line_kind(line: str, common: frozenset[str]) -> str:
         return "links"
     words = _WORD.findall(without)
     letters = sum(map(len, words))
-    solid = sum(not c.isspace() for c in without) or 1
+    solid = _visible(without) or 1
     figures = sum(len(m.group()) for m in _NUMBER.finditer(without))
     pieces = without.split()
     n_common = sum(w.lower() in common for w in words)
@@ -138,7 +159,7 @@ def line_kind(line: str, common: frozenset[str]) -> str:
         return "figures" if figures else "symbols"
     if max(map(len, pieces)) >= 40 and sum(len(p) for p in pieces if len(p) >= 40) > 0.5 * solid:
         return "encoded"
-    if len(pieces) >= 4 and sum(bool(re.fullmatch(r"[0-9a-fA-F]{2}|[0-9a-fA-F]{4}|[0-9a-fA-F]{8}", p)) for p in pieces) > 0.8 * len(pieces):
+    if len(pieces) >= 4 and sum((len(p) in (2, 4, 8) and bool(_HEX.fullmatch(p))) for p in pieces) > 0.8 * len(pieces):
         return "encoded"
     cells = max(text.count("|"), text.count("│"), text.count("\t"), text.count("¦"))
     if cells >= 2 or (cells == 1 and figures > 0):
@@ -155,7 +176,7 @@ def line_kind(line: str, common: frozenset[str]) -> str:
         return "figures"
     if letters < 0.5 * solid:
         return "symbols"
-    clean = sum(bool(re.fullmatch(r"[\"'“”‘’(\[«¿¡*_]*[^\W\d_]+(?:['’/-][^\W\d_]+)*[.,;:!?…)\]\"'“”‘’»*_]*", p)) for p in pieces)
+    clean = sum(map(_is_clean, pieces))
     if len(pieces) >= 5 and clean < 0.5 * len(pieces) and n_common < 0.15 * len(words):
         return "symbols"
     odd = sum(len(w) for w in words if _odd(w))
@@ -163,11 +184,11 @@ def line_kind(line: str, common: frozenset[str]) -> str:
         return "noise"
     if letters >= 25:
         low = "".join(words).lower()
-        if low.isascii() and sum(c in _VOWELS for c in low) < 0.28 * letters and n_common < 0.1 * len(words):
+        if low.isascii() and _n_vowels(low) < 0.28 * letters and n_common < 0.1 * len(words):
             return "noise"
     if bullet and not (_STOP.search(body) and len(words) >= 4):
         return "list"
-    signs = sum(unicodedata.category(c) in _SIGNS for c in without)
+    signs = len(_SIGNS.findall(without))
     if signs > 0.25 * solid:
         return "symbols"
     parts = [p for p in re.split(r"\s*[;/•|]\s*|,\s+", re.sub(r"^[\w ]{1,20}:\s*", "", body)) if p]
@@ -234,7 +255,7 @@ def prose_share(text: str, common: frozenset[str], known: frozenset[str] = froze
     prose_lines = []
     for line in re.split(r"\r?\n", plain):
         line = _QUOTE.sub("", line)
-        size = sum(not c.isspace() for c in line)
+        size = _visible(line)
         if size:
             kind = line_kind(line, common)
             if kind == "prose":
@@ -251,7 +272,7 @@ def prose_share(text: str, common: frozenset[str], known: frozenset[str] = froze
 
     short = [x for x in prose_lines if not _END.search(x) and len(x.split()) <= 9]
     if _loose_list(short):
-        move(sum(not c.isspace() for x in short for c in x), "list")
+        move(sum(map(_visible, short)), "list")
     if is_salad("\n".join(prose_lines), common, known):
         move(prose, "salad")
     pieces = plain.split()
