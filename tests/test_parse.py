@@ -4,10 +4,9 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from weftwork.operators.parse import parse_replies
-from weftwork.operators.repair import balanced, looks_truncated, parse_failure, repaired, repaired_text
+from weftwork.operators.repair import balanced, looks_truncated, parse_failure, repaired_text, with_repaired
 
 CASES = [
     ('{"nodes": [{"id": "a", "label": "A", "type": "person"}], "edges": [{"id": "e", "source": "a", "target": "a", "type": "owns", "label": "has"}]}', "ok", ["a"], [("e", "owns", "has")]),
@@ -110,7 +109,7 @@ def test_columns_and_python_agree(spark):
         body = rng.choice([body, body[:-2], body.replace("]", ",]"), "```json\n" + body + "\n```", "see: " + body + " end", body.replace('"', "'"), "[]", "null", " "])
         texts.append(body)
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, raw string")
-    fixed = {r.k: r.t for r in df.select("k", repaired(F.col("raw")).alias("t")).collect()}
+    fixed = {r.k: r.t for r in with_repaired(df, "raw", "t").collect()}
     status = {r.k: r.status for r in parse_replies(df).collect()}
     for k, text in enumerate(texts):
         assert fixed[k] == repaired_text(text) or (fixed[k].startswith(repaired_text(text))), text

@@ -22,7 +22,7 @@ BLANK = _escaped((*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, *SPACES))
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    return F.btrim(c, F.lit("".join(map(chr, (*range(0x09, 0x0E), *SPACES, 0xFEFF)))))
 
 
 def js_words(c: Column) -> Column:

@@ -41,7 +41,8 @@ def js_string(v: Column, depth: int = 3) -> Column:
     down to ``depth`` levels, JSON nulls in them are empty.
     """
     text = F.try_variant_get(v, "$", "string")
-    choice = F.when(~is_present(v), F.lit(None).cast("string")).when(kind(v) == "OBJECT", "[object Object]").when(kind(v) == "DOUBLE", _double_text(v))
+    # strings first: most values are, and the branches behind are tried in order
+    choice = F.when(is_string(v), text).when(~is_present(v), F.lit(None).cast("string")).when(kind(v) == "OBJECT", "[object Object]").when(kind(v) == "DOUBLE", _double_text(v))
     if depth:
         items = F.try_variant_get(v, "$", "array<variant>")
         choice = choice.when(kind(v) == "ARRAY", F.array_join(F.transform(items, lambda x: F.coalesce(js_string(x, depth - 1), F.lit(""))), ","))

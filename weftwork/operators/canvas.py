@@ -10,6 +10,7 @@ streams over a graph's components in order and holds only the cursor.
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -137,22 +138,33 @@ def laid_out(boxes: DataFrame, edges: DataFrame, options: CanvasOptions = Canvas
     single = boxes.where("n = 1").select(*key, "id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("c_width"), F.col("height").alias("c_height"))
 
     some = boxes.where((F.col("n") > 1) & (F.col("n") <= options.layout_limit))
-    # new aliases, as both sides of the cogroup come from the same rows
-    ends = some.select(F.col("graph_id").alias("graph_id"), F.col("component").alias("component"), F.col("id").alias("source"))
-    inner = edges.where("source <> target").select("graph_id", "id", "source", "target").join(ends, ["graph_id", "source"])
-
-    def place(k, nodes, links):
-        nodes = nodes.sort_values(["rank"])
-        links = links.sort_values(["rank"])
-        corners, width, height = layered(list(zip(nodes["id"], nodes["width"], nodes["height"], strict=True)), list(zip(links["source"], links["target"], strict=True)), options)
-        return pd.DataFrame([(k[0], k[1], i, x, y, width, height) for i, (x, y) in corners.items()], columns=[c.split()[0] for c in _PLACED.split(", ")])
-
-    def ordered(rows):
-        # locale order as a number, since Python has no collation; at most layout_limit rows a window
-        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.collate("id", "UNICODE"), "id")))
-
-    left = ordered(some.select(*key, "id", "width", "height")).groupBy(*key)
-    layered_rows = left.cogroup(ordered(inner.select(*key, "id", "source", "target")).groupBy(*key)).applyInPandas(place, _PLACED)
+    inner = edges.where("source <> target").join(some.select("graph_id", "component", F.col("id").alias("source")), ["graph_id", "source"])
+    none = F.lit(None).cast("string")
+    rows = some.select(*key, F.lit(0).alias("edge"), F.col("id").alias("by"), F.col("id").alias("a"), none.alias("b"), "width", "height").unionByName(
+        inner.select(*key, F.lit(1).alias("edge"), F.col("id").alias("by"), F.col("source").alias("a"), F.col("target").alias("b"), F.lit(0).alias("width"), F.lit(0).alias("height"))
+    )
+    # one component after the other streams through a task, its nodes before its edges, both by locale
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "edge", F.collate("by", "UNICODE"), "by")
+
+    def place(batches):
+        def each():
+            for batch in batches:
+                yield from zip(*(batch[c].tolist() for c in ("graph_id", "component", "edge", "a", "b", "width", "height")), strict=True)
+
+        done = []
+        for (graph, component), items in groupby(each(), key=lambda r: r[:2]):
+            nodes, links = [], []
+            for _, _, edge, a, b, w, h in items:
+                (links if edge else nodes).append((a, b) if edge else (a, w, h))
+            corners, width, height = layered(nodes, links, options)
+            done += [(graph, component, i, x, y, width, height) for i, (x, y) in corners.items()]
+            if len(done) > 10_000:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        yield pd.DataFrame(done, columns=names)
+
+    names = [c.split()[0] for c in _PLACED.split(", ")]
+    layered_rows = rows.mapInPandas(place, _PLACED)
 
     many = boxes.where(F.col("n") > options.layout_limit)
     columns = F.ceil(F.sqrt("n"))

@@ -12,7 +12,7 @@ from weftwork.functions.text import js_trim
 from weftwork.model import MAX_RETRIES, SchemaSpec
 from weftwork.operators.parse import parse_replies, parse_value
 from weftwork.operators.prompt import prompt_column, schema_column
-from weftwork.operators.repair import repaired, truncated_column
+from weftwork.operators.repair import truncated_column, with_repaired
 from weftwork.operators.validate import validate_column
 from weftwork.session import written
 from weftwork.sources.providers import Provider, call
@@ -95,8 +95,8 @@ def replay(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     rows = attempts.select("graph_id", "attempt", "raw", "finish_reason", "prompt_tokens", "completion_tokens").where("graph_id is not null and attempt is not null")
     rows = rows.groupBy(*key).agg(F.min(F.struct("raw", "finish_reason", "prompt_tokens", "completion_tokens")).alias("r")).select(*key, "r.*")
     order = Window.partitionBy("graph_id").orderBy("attempt")
-    text = rows.withColumn("text", repaired(F.col("raw"))).withColumn("broken", truncated_column(F.col("raw")))
-    parsed = text.withColumn("p", parse_value(F.col("text"))).select(*key, "raw", "finish_reason", "prompt_tokens", "completion_tokens", "broken", "p.status", "p.error")
+    text = with_repaired(rows, "raw", "text").withColumn("value", F.try_parse_json("text")).withColumn("broken", truncated_column(F.col("raw")))
+    parsed = text.withColumn("p", parse_value(F.col("value"))).select(*key, "raw", "finish_reason", "prompt_tokens", "completion_tokens", "broken", "p.status", "p.error")
     empty = ~F.coalesce(js_trim(F.col("raw")) != "", F.lit(False))
     stops = empty | (F.col("status") == "ok") | F.coalesce(F.col("raw") == F.lag("raw").over(order), F.lit(False)) | ((F.col("finish_reason") == "stop") & F.col("broken"))
     judged = parsed.withColumns({"empty": empty, "nth": F.row_number().over(order), "stops": F.coalesce(stops, F.lit(False))})

@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +74,7 @@ def truncated_column(raw: pd.Series) -> pd.Series:
 def strip_fence(text: Column) -> Column:
     """Inner text where the whole text is one fenced block that is not empty."""
     inner = js_trim(F.regexp_extract(text, _FENCE, 1))
-    return F.when(inner != "", inner).otherwise(text)
+    return F.when(text.startswith("```") & text.endswith("```"), F.coalesce(F.nullif(inner, F.lit("")), text)).otherwise(text)
 
 
 def extract_balanced(text: Column) -> Column:
@@ -93,12 +93,17 @@ def drop_trailing_commas(text: Column) -> Column:
     return F.regexp_replace(text, _TRAILING, "$1")
 
 
-def repaired(raw: Column) -> Column:
-    return drop_trailing_commas(extract_balanced(strip_fence(js_trim(raw))))
+def with_repaired(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """``df`` with the repaired text of ``raw`` as ``name``.
+
+    Each step is a column of its own, since the next one uses it several times.
+    """
+    steps = df.withColumn("__fence", strip_fence(js_trim(F.col(raw)))).withColumn("__cut", extract_balanced(F.col("__fence")))
+    return steps.withColumn(name, drop_trailing_commas(F.col("__cut"))).drop("__fence", "__cut")
 
 
 def repaired_text(raw: str) -> str:
-    """``repaired`` in plain Python."""
+    """The same in plain Python."""
     space = f"[{re.escape(_PLAIN_SPACE)}]"
     text = raw.strip(_PLAIN_SPACE)
     m = re.match(rf"^```(?:json)?{space}*(.*?){space}*```\Z", text, re.DOTALL)
