@@ -1,16 +1,17 @@
 """Replies that were cut off before their end.
 
 A reply is read as an optional preamble, a graph in JSON and an optional closing
-remark; marks that are put after a cut are set aside. Three things can happen to the
-end: the JSON ended and nothing follows (not cut); a remark or plain prose stands
-last; or the JSON never reached its end.
-
-Remarks and prose are decided by a self-join by prefix: all distinct values are
-sorted, and a value is cut if the next value in order starts with it, which is
-exactly the case if any longer copy of it exists. JSON bodies take part in the same
-sort, but few of them have a longer copy, so a body that never closes counts as cut
-by itself. The sort is by range over distinct values; neighbours across partition
-borders are compared through the first value of each partition.
+remark; marks that are put after a cut are set aside. Each part gives a value to
+look for elsewhere: preambles and remarks as they are, JSON as its skeleton, in which
+every scalar is one mark and runs of equal list items are one item, so that replies
+of one style share their skeletons whatever they say.
+
+A self-join by prefix decides: all distinct values are sorted, and a value has a
+longer copy exactly if the next value in order starts with it. The part that stands
+last in a reply counts as cut if it has a longer copy and, for JSON, does not close.
+JSON that never closes counts as cut also without a longer copy. The sort is by
+range over distinct values; neighbours across partition borders are compared through
+the first value of each partition.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.operators.repair import scan
+from weftwork.operators.repair import first_bracket, scan
 from weftwork.session import cut_lineage
 
 #: What is put behind a cut.
@@ -32,42 +33,56 @@ _GOES_ON = (",", ":", '"', "'", "{", "[")
 _BODY_END = re.compile(r"[\"'}\[,]\s*\]\s*\}")
 
 
-def ending(raw: str) -> tuple[str, str]:
-    """(state, last value): how a reply ends and the prose to look for elsewhere.
+#: A string, closed or not; any other scalar; blanks.
+_SCALAR = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[^\s"{}\[\]:,]+', re.DOTALL)
+_BLANKS = re.compile(r"\s+")
+_RUN = re.compile(r"(\{[^{}]*\},)\1+")
 
-    States: ``ended``; ``prose`` without any JSON; ``remark`` behind a JSON body;
-    ``open`` where JSON or a code fence never closes, or a cut mark follows what
-    had ended.
+
+def skeleton(text: str) -> str:
+    """JSON without blanks, each scalar as one mark, runs of list items of one shape as one item."""
+    return _RUN.sub(r"\1", _BLANKS.sub("", _SCALAR.sub("s", text)))
+
+
+def ending(raw: str) -> tuple[str, str, str, str]:
+    """(state, head, JSON skeleton, remark) of a reply; parts it does not have are ''.
+
+    States name what stands last: ``ended`` JSON; ``prose`` without any JSON;
+    ``remark`` behind JSON; ``open`` where JSON or a code fence never closes, or a
+    cut mark follows what had ended.
     """
     text = raw.strip()
     core = _MARKS.sub("", text)
     marked = len(core) < len(text)
-    at = min((i for i in (core.find("{"), core.find("[")) if i >= 0), default=-1)
+    at = first_bracket(core)
     if at < 0:
         core = _FENCE_END.sub("", core) if "\n" in core else core
         if core.startswith("```"):
-            return "open", core
+            return "open", core, "", ""
         if not core:
-            return "open" if marked else "ended", ""
+            return "open" if marked else "ended", "", "", ""
         if not marked and (core in ("null", "true", "false") or re.fullmatch(r'"[^"]*"|-?[\d.]+', core)):
-            return "ended", core
-        return "prose", core
-    fenced = "```" in core[:at]
+            return "ended", core, "", ""
+        return "prose", core, "", ""
+    head = core[: at + 1]
+    fenced = "```" in head
     end = scan(core, at)[0]
     rest = core[end:].lstrip(" \t\r\n}]") if end > 0 else ""
     if end < 0 or rest[:1] in _GOES_ON:
         ends = [m.end() for m in _BODY_END.finditer(core, at)]  # ill-formed: look for where the lists close
         rest = core[ends[-1] :].lstrip(" \t\r\n}]") if ends else ""
         if not ends or rest[:1] in _GOES_ON:
-            return "open", core
+            return "open", head, skeleton(_FENCE_END.sub("", core)[at:]), ""
+        end = ends[-1]
+    body = skeleton(core[at:end])
     if fenced:
         if not rest.startswith("```"):
-            return "open", core
+            return "open", head, body, ""
         rest = rest[3:]
     rest = _FENCE_END.sub("", rest).strip() if not fenced else rest.strip().removesuffix("```").strip()
     if rest:
-        return "remark", rest
-    return ("open" if marked else "ended"), ""
+        return "remark", head, body, rest
+    return ("open" if marked else "ended"), head, body, ""
 
 
 def prefixes_of_longer(values: DataFrame) -> DataFrame:
@@ -106,49 +121,39 @@ def prefixes_of_longer(values: DataFrame) -> DataFrame:
     return ordered.mapInPandas(scan, "kind string, value string").select("kind", F.md5("value").alias("value_id"))
 
 
+#: The part that decides in each state.
+_LAST = {"prose": "head", "remark": "remark", "open": "json"}
+
+
 def endings(replies: DataFrame) -> DataFrame:
-    """``graph_id, attempt, provider, model, state, value_kind, value, head``; null ``raw`` is left out.
+    """``graph_id, attempt, provider, model, state, head, json, remark``; null ``raw`` is left out.
 
-    ``value`` is the prose or remark that stands last, with numbers written as 0;
-    ``head`` is the whole reply, as a longer copy for others.
+    Numbers in remarks are written as 0, so that counts do not make them different.
     """
 
-    @F.pandas_udf("state string, value string")
+    @F.pandas_udf("state string, head string, json string, remark string")
     def read(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ending(r) for r in raw], columns=["state", "value"])
-
-    return (
-        replies.select("graph_id", "attempt", "provider", "model", "raw")
-        .where("raw is not null")
-        .withColumn("e", read("raw"))
-        .select(
-            "graph_id",
-            "attempt",
-            "provider",
-            "model",
-            F.col("e.state").alias("state"),
-            F.when(F.col("e.state") == "remark", "remark").otherwise("head").alias("value_kind"),
-            F.when(F.col("e.state") == "remark", F.regexp_replace("e.value", "[0-9]+", "0")).otherwise(F.col("e.value")).alias("value"),
-            F.trim("raw").alias("head"),
-        )
-    )
+        return pd.DataFrame([ending(r) for r in raw], columns=["state", "head", "json", "remark"])
+
+    rows = replies.select("graph_id", "attempt", "provider", "model", "raw").where("raw is not null").withColumn("e", read("raw"))
+    return rows.select("graph_id", "attempt", "provider", "model", "e.state", "e.head", "e.json", F.regexp_replace("e.remark", "[0-9]+", "0").alias("remark"))
 
 
 def cut_replies(replies: DataFrame) -> DataFrame:
     """``graph_id, attempt, provider, model, cut, by``: every reply with a text, whether it was cut and what shows it.
 
-    ``by`` is ``prefix`` where a longer copy of its last prose exists, ``open`` where
-    its JSON never ended, else null. A reply delivered twice appears twice.
+    ``by`` is ``prefix`` where a longer copy of its last part exists, ``open`` where
+    its JSON or fence never ended and no longer copy exists, else null. A reply
+    delivered twice appears twice.
     """
     rows = endings(replies)
-    pairs = F.array(
-        F.struct(F.lit("head").alias("kind"), F.col("head").alias("value")),
-        F.struct(F.col("value_kind").alias("kind"), F.col("value").alias("value")),
-    )
-    longer = prefixes_of_longer(rows.select(F.explode(pairs).alias("p")).select("p.kind", "p.value"))
-    hits = longer.select(F.col("kind").alias("value_kind"), "value_id", F.lit(True).alias("hit"))
-    judged = rows.drop("head").withColumn("value_id", F.md5("value")).drop("value").join(hits, ["value_kind", "value_id"], "left")
-    by = F.when(F.col("state").isin("prose", "remark", "open") & F.col("hit"), "prefix").when(F.col("state") == "open", "open")
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("head", "json", "remark")))
+    longer = prefixes_of_longer(rows.select(F.explode(parts).alias("p")).select("p.kind", "p.value"))
+    last = F.create_map(*(F.lit(x) for pair in _LAST.items() for x in pair))[F.col("state")]
+    value = F.coalesce(*(F.when(F.col("kind") == k, F.col(k)) for k in ("head", "json", "remark")))
+    asked = rows.withColumn("kind", last).withColumn("value_id", F.md5(value)).drop("head", "json", "remark")
+    judged = asked.join(longer.withColumn("hit", F.lit(True)), ["kind", "value_id"], "left")
+    by = F.when(F.col("hit"), "prefix").when(F.col("state") == "open", "open")
     return judged.withColumn("by", by).select("graph_id", "attempt", "provider", "model", F.col("by").isNotNull().alias("cut"), "by")
 
 
