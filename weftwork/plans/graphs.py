@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftwork.functions.text import js_trim
 from weftwork.model import ENTITY_TYPES, RELATION_TYPES, SchemaSpec
 from weftwork.operators import canvas as cv
 from weftwork.operators import validate as va
