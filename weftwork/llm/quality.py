@@ -96,6 +96,8 @@ _URL = re.compile(r"\b(?:https?://|www\.)\S+", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"[.!?…。！？؟।:,][\"'”’)»\]]*\s*$|[.!?…][\"'”’)»\]]*\s*(?:[:;]-?[)D(]|\W{1,3})\s*$")
 _STOP = re.compile(r"[.!?…。！？؟।][\"'”’)»\]]*(?:\s|$)")
+#: A sentence ends within the line, which no row of figures does.
+_SENTENCE = re.compile(r"[^\W\d_][.!?…](?:\s|$)")
 _NUMBER = re.compile(r"(?<!\w)[-+$€£]?\d+(?:[.,:/]\d+)*%?(?!\w)")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 _SIGNS = regex.compile(r"[\p{Sc}\p{So}\p{Sm}\p{Sk}\p{Pf}\p{Pi}\p{No}\p{Cc}\p{Cn}]")
@@ -166,7 +168,7 @@ def line_kind(line: str, common: frozenset[str]) -> str:
         return "table"
     if re.search(r"\.{3,}\s*[-\d][\d.,]*\s*$", text):
         return "table"
-    if re.search(r"_{4,}|\S {3,}\S.*\S {2,}\S| {3,}[-\d.,]+\s*$", text) and not _STOP.search(text.rstrip(". ")[:-1] + " "):
+    if re.search(r"_{4,}|\S {3,}\S.*\S {2,}\S| {3,}[-\d.,]+\s*$", text) and not _SENTENCE.search(text):
         return "table"
     if len(re.findall(r"\b\w+\s?=\s?[^\s=]", text)) >= 2:
         return "table"
@@ -174,6 +176,9 @@ def line_kind(line: str, common: frozenset[str]) -> str:
         len(re.findall(r"[;,]", text)) >= 3 and sum(bool(_NUMBER.fullmatch(p.strip())) for p in re.split(r"[;,]", text)) >= 3
     ):
         return "figures"
+    values = re.split(r"[;,](?=\S)", text)
+    if len(values) >= 3 and sum(bool(_NUMBER.fullmatch(v.strip())) for v in values[1:]) == len(values) - 1:
+        return "figures"
     if letters < 0.5 * solid:
         return "symbols"
     clean = sum(map(_is_clean, pieces))
@@ -232,15 +237,21 @@ def pairs_of(text: str) -> list[str]:
 
 
 def is_salad(text: str, common: frozenset[str], known: frozenset[str], least: int = 12, share: float = 0.3, enough: int = 500) -> bool:
-    """Words that form no sentences: few neighbours that the corpus knows, hardly a stop or comma, and articles without a noun.
+    """Words that form no sentences: few neighbours that the corpus knows, hardly a stop or comma, and articles without a noun
+    unless the neighbours are strangers almost throughout.
 
     A corpus too small to know ``enough`` pairs decides nothing.
     """
     pairs = pairs_of(text)
-    if len(pairs) < least or len(known) < enough or sum(p in known for p in pairs) >= share * len(pairs):
+    if len(pairs) < least or len(known) < enough:
+        return False
+    n_known = sum(p in known for p in pairs)
+    if n_known >= share * len(pairs):
         return False
     if 25 * len(re.findall(r"[.!?,;:](?=\s+\S)", text)) > len(pairs):
         return False
+    if 3 * n_known < 2 * share * len(pairs):
+        return True
     after = [p.split(" ")[1] for p in pairs if p.split(" ")[0] in _DETERMINERS]
     return len(after) < 3 or sum(w in common for w in after) >= 0.15 * len(after)
 
