@@ -137,3 +137,16 @@ def test_extract_rows(spark):
     assert [n.label for n in rows[0].validation.graph.nodes] == ["Alice", "Bob"]
     assert rows[6].attempts == 2 and rows[6].status == "ok"
     assert not rows[5].validation.valid
+
+
+def test_rule_provider_takes_all_names_unless_asked(spark):
+    names = ["N" + chr(97 + k // 26) + chr(97 + k % 26) + "o" for k in range(60)]
+    docs = spark.createDataFrame([(0, " ".join(names) + "\nOUTPUT LIMITS:\n- max nodes: 2\n")], "doc_id bigint, text string")
+
+    def graph(*spec):
+        return extract(docs, RuleProvider, *spec).first().validation.graph
+
+    whole = graph()
+    assert [n.label for n in whole.nodes] == names and len(whole.edges) == 59
+    few = graph(SchemaSpec(max_nodes=7, max_edges=40))
+    assert [n.label for n in few.nodes] == names[:7] and len(few.edges) == 6

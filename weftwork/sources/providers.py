@@ -135,19 +135,22 @@ class HttpProvider:
 class RuleProvider:
     """A pseudo-model for tests: capitalised words are nodes, neighbours in a line are edges.
 
-    The defects of its replies follow the key, so that every repair is exercised.
+    The defects of its replies follow the key, so that every repair is exercised. All
+    names of a text are taken unless ``max_nodes`` or the limits of the prompt say otherwise.
     """
 
-    max_nodes: int = 25
+    max_nodes: int | None = None
 
     def complete(self, key, prompt: str, attempt: int) -> Reply:
-        text = prompt.partition("\nTEXT:\n")[2].rpartition("\n\nENTITY TYPES: ")[0]
+        text, _, told = prompt.partition("\nTEXT:\n")[2].rpartition("\n\nENTITY TYPES: ")
+        asked = re.findall(r"\n\nOUTPUT LIMITS:\n- max nodes: (\d+)\n", told)
+        limit = min((n for n in (self.max_nodes, *map(int, asked[-1:])) if n is not None), default=None)
         ids: dict[str, str] = {}
         edges = []
         for line in text.split("\n"):
             last = None
             for name in re.findall(r"\b[A-Z][a-z]{2,}\b", line):
-                if name not in ids and len(ids) >= self.max_nodes:
+                if limit is not None and name not in ids and len(ids) >= limit:
                     continue
                 mine = ids.setdefault(name, f"node_{len(ids) + 1}")
                 if last and last != mine:
