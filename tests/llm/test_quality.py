@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from weftwork.llm import quality as q
@@ -84,3 +86,17 @@ def test_known_pairs(spark):
     got = {r.pair: r.n_docs for r in q.known_pairs(docs, share=0.0, least=2).collect()}
     assert got == {"a b": 3, "b c": 2}
     assert q.pairs_of("A b 12 é") == ["a b", "b 0", "0 é"]
+
+
+def test_copies_make_no_pairs_known(spark):
+    rng = random.Random(3)
+    letters = "abcdefghij"
+    common = [a + b for a in letters for b in "aeiou"][:30]
+    prose = [" ".join(rng.choice(common) for _ in range(40)) + f". Is it {a}{b}?" for a in letters for b in letters]
+    salad = " ".join("".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(40))
+    texts = prose + [f"{salad} {k}" if k % 2 else salad.upper() + "!" for k in range(60)]
+    docs, words = frames(spark, texts)
+    known = {r.pair for r in q.known_pairs(docs).select("pair").collect()}
+    assert len(known) >= 500 and not known & set(q.pairs_of(salad))
+    found = {r.doc_id for r in q.not_prose(q.kinds_of_text(docs, words)).collect()}
+    assert found == set(range(len(prose), len(texts)))

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.session import written
+
 #: Thresholds of the published rules, as (reason, SQL condition of failure).
 #: Word count, mean word length, symbols to words, bullets, words with a letter and stop
 #: words are those of Rae et al. 2021; the share of punctuated lines is that of Raffel et al. 2020.
@@ -295,25 +297,27 @@ def prose_share(text: str, common: frozenset[str], known: frozenset[str] = froze
     return prose, sum(amounts.values()), most
 
 
-#: A pair of words is known if this share of the documents holds it, and ``LEAST_DOCS`` do.
+#: A pair of words is known if this share of the different texts holds it, and ``LEAST_DOCS`` do.
 PAIR_SHARE = 1 / 1500
 LEAST_DOCS = 3
 
 
 def known_pairs(documents: DataFrame, share: float = PAIR_SHARE, least: int = LEAST_DOCS) -> DataFrame:
-    """``pair, n_docs``: neighbouring words that occur in enough documents.
+    """``pair, n_docs``: neighbouring words that occur in enough different texts.
 
-    Counted over all documents. A document of n words has fewer than n pairs, so at
-    most (mean words per document) / ``share`` pairs can reach the share: a few
-    hundred thousand, whatever the number of documents.
+    Counted over all texts; those of the same words, figures as 0, count once, so that
+    no post makes its own pairs known by its copies. A text of n words has fewer than n
+    pairs, so at most (mean words per text) / ``share`` pairs can reach the share: a few
+    hundred thousand, whatever the number of texts.
     """
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+|\d+)"), F.lit(1)), lambda w: F.when(w.rlike(r"^\d"), "0").otherwise(w))
-    texts = documents.select("text").where("text is not null").select(words.alias("w"))
+    texts = written(documents.select("text").where("text is not null").select(F.array_join(words, " ").alias("words")).distinct(), "texts")
+    split = texts.select(F.split("words", " ").alias("w"))
     pairs = F.when(
         F.size("w") > 1, F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     )
-    total = documents.where("text is not null").count()
-    counted = texts.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
+    total = texts.count()
+    counted = split.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
     return counted.where(F.col("n_docs") >= max(least, total * share))
 
 
