@@ -123,3 +123,20 @@ def test_components_of_paths_and_hubs(spark):
     assert all(got[f"p{i:03}"] == "p000" for i in range(151)) and all(got[f"h{i}"] == "h0" for i in range(80))
     assert got["s"] == "s" and "x" not in got
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_edges_decide_in_large_components(spark):
+    # root to forty nodes, each to one of forty others, whose ids are in another order; a loop at one end
+    pairs = [(f"a{k:02}", f"b{k * 17 % 40:02}") for k in range(40)]
+    edges = [("z", a) for a, _ in pairs] + pairs + [("b00", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1")]
+    ids = sorted({v for e in edges for v in e})
+    boxes = spark.createDataFrame([(1, "a00", v, 220 + len(v), 144 + k % 3) for k, v in enumerate(ids)], "graph_id bigint, component string, id string, width int, height int")
+    links = spark.createDataFrame([(1, f"e{k}", a, b) for k, (a, b) in enumerate(edges)], "graph_id bigint, id string, source string, target string")
+    rows = cv.laid_out(boxes, links, CanvasOptions(layout_limit=10)).join(boxes, ["graph_id", "component", "id"]).collect()
+    at = {r.id: r for r in rows}
+    assert len(rows) == len(ids) and len({(r.c_width, r.c_height) for r in rows}) == 1
+    assert not any(overlap(a, b) for i, a in enumerate(rows) for b in rows[:i])
+    assert all(r.x >= 0 and r.y >= 0 and r.x + r.width <= r.c_width and r.y + r.height <= r.c_height for r in rows)
+    assert sum(at[a].x + at[a].width > at[b].x for a, b in edges) == 1
+    across = sorted(pairs, key=lambda p: at[p[0]].y)
+    assert across == sorted(pairs, key=lambda p: at[p[1]].y)

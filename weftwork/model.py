@@ -113,5 +113,5 @@ class CanvasOptions:
     ranksep: int = 160
     ranker: str = "network-simplex"
     acyclicer: str = "greedy"
-    #: Components with more nodes get a grid instead of a layered layout, which is serial.
+    #: Components with more nodes are layered by distributed passes instead of in one task.
     layout_limit: int = 2000

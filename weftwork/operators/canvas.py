@@ -3,7 +3,7 @@
 Sanitising keeps the first node of an id and the first valid edge of an id, as
 aggregates with partial minima rather than windows, so that repeated ids cannot
 gather in a task. Components are found over all graphs at once; each small component
-is laid out by itself, large ones on a grid; shelves are packed by a fold that
+is laid out by itself, large ones by iterated joins; shelves are packed by a fold that
 streams over a graph's components in order and holds only the cursor.
 """
 
@@ -13,13 +13,14 @@ import math
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import humanize, js_trim, js_words, optional_text, utf16_length
 from weftwork.model import CanvasOptions
 from weftwork.operators.components import connected_components
 from weftwork.operators.layout import layered
+from weftwork.operators.wide_layout import wide_layered
 from weftwork.session import written
 
 #: Colours.
@@ -129,11 +130,11 @@ def laid_out(boxes: DataFrame, edges: DataFrame, options: CanvasOptions = Canvas
     """``graph_id, component, id, x, y, c_width, c_height`` within each component.
 
     ``boxes``: ``graph_id, component, id, width, height``. One box lies at the origin
-    without leaving the JVM; up to ``layout_limit`` boxes are layered; more are put on
-    a grid by rank, whose rows and columns take the largest box.
+    without leaving the JVM; up to ``layout_limit`` boxes are layered in one task, more
+    by distributed passes.
     """
     key = ["graph_id", "component"]
-    sizes = boxes.groupBy(*key).agg(F.count("*").alias("n"), F.max("width").alias("w"), F.max("height").alias("h"))
+    sizes = boxes.groupBy(*key).agg(F.count("*").alias("n"))
     boxes = written(boxes.join(sizes, key), "boxes")
     single = boxes.where("n = 1").select(*key, "id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("c_width"), F.col("height").alias("c_height"))
 
@@ -166,15 +167,12 @@ def laid_out(boxes: DataFrame, edges: DataFrame, options: CanvasOptions = Canvas
     names = [c.split()[0] for c in _PLACED.split(", ")]
     layered_rows = rows.mapInPandas(place, _PLACED)
 
-    many = boxes.where(F.col("n") > options.layout_limit)
-    columns = F.ceil(F.sqrt("n"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("id")) - 1
-    step_x, step_y = F.col("w") + options.nodesep, F.col("h") + options.nodesep
-    grid = many.withColumn("nth", nth).select(
-        *key, "id", ((F.col("nth") % columns) * step_x).cast("int").alias("x"), (F.floor(F.col("nth") / columns) * step_y).cast("int").alias("y"),
-        (columns * step_x - options.nodesep).cast("int").alias("c_width"), (F.ceil(F.col("n") / columns) * step_y - options.nodesep).cast("int").alias("c_height"),
-    )
-    return single.unionByName(layered_rows).unionByName(grid)
+    out = single.unionByName(layered_rows)
+    many = boxes.where(F.col("n") > options.layout_limit).select(*key, "id", "width", "height")
+    if many.isEmpty():
+        return out
+    linked = edges.where("source <> target").join(many.select(*key, F.col("id").alias("source")), ["graph_id", "source"])
+    return out.unionByName(wide_layered(many, linked.select(*key, F.col("source").alias("a"), F.col("target").alias("b")), options))
 
 
 def packed(components: DataFrame, options: CanvasOptions = CanvasOptions()) -> DataFrame:
