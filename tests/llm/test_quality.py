@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from weftwork.llm import quality as q
+from weftwork.llm.linestats import unrolled, word_hash
 
 COMMON = frozenset("the a and is it i to of that was with on not my this".split())
 PROSE = [
@@ -37,24 +41,41 @@ OTHER = [
 ]
 
 
+def share(text):
+    listed = np.array(sorted(word_hash(w) for w in COMMON), np.uint64)
+    row = q.measured([text], listed)[0].iloc[0]
+    return row["prose"], sum(row[c] for c in q.REASONS), bool(row["loose"])
+
+
 @pytest.mark.parametrize("text", PROSE)
 def test_prose(text):
-    prose, other, _ = q.prose_share(text, COMMON)
+    prose, other, _ = share(text)
     assert other <= prose
 
 
 @pytest.mark.parametrize("text", OTHER)
 def test_other(text):
-    prose, other, kind = q.prose_share(text, COMMON)
-    assert other > prose and kind
+    prose, other, _ = share(text)
+    assert other > prose
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("aé 漢3.,;:|<>[]&-*\n\t…\r\ud800x/=") , max_size=40), max_size=6))
+def test_batches_measure_as_single_texts(texts):
+    listed = np.array(sorted(word_hash(w) for w in COMMON), np.uint64)
+    together = q.measured([*texts, "the end"], listed)[0]
+    for k, text in enumerate(texts):
+        assert together.iloc[k].to_dict() == q.measured([text], listed)[0].iloc[0].to_dict()
+        assert together.iloc[k][["prose", *q.REASONS]].sum() >= 0
 
 
-def test_salad():
-    known = frozenset(q.pairs_of("the kiln is not worth the trouble and it was with my loom on this day of that year"))
-    salad = "my of the and with a kiln this was that on is not it the trouble of a my"
-    assert q.is_salad(salad, COMMON, known, enough=5)
-    assert not q.is_salad("the kiln is not worth the trouble and it was with my loom on this day", COMMON, known, enough=5)
-    assert not q.is_salad("few words", COMMON, known, enough=5) and not q.is_salad(salad, COMMON, known) and not q.is_salad(salad, COMMON, frozenset())
+def test_long_tags_are_markup():
+    tag = f'<span style="{"x" * 900}">'
+    assert unrolled(f"one {tag}two[url={'y' * 900}] three") == "one two three"
+
+
+def test_loose():
+    assert share("words that go on and on with no mark of any kind between them at all")[2]
+    assert not share("words that go on, and on, with marks of any kind. Between them, here")[2] and not share("few words")[2]
 
 
 def frames(spark, texts):
@@ -81,22 +102,24 @@ def test_statistics(spark):
     assert "few_words" in r.reasons and set(rows) == {0, 1, 3} and rows[1].n_words == 0
 
 
-def test_known_pairs(spark):
-    docs, _ = frames(spark, ["a b c", "A b 12", "b c", "a b a b", None, ""])
-    got = {r.pair: r.n_docs for r in q.known_pairs(docs, share=0.0, least=2).collect()}
-    assert got == {"a b": 3, "b c": 2}
-    assert q.pairs_of("A b 12 é") == ["a b", "b 0", "0 é"]
+def test_many_common_words_are_an_error(spark):
+    docs, _ = frames(spark, ["a"])
+    words = spark.range(q.MAX_COMMON + 1).selectExpr("'en' AS lang", "concat('w', id) AS word", "1 AS rank_no")
+    with pytest.raises(ValueError, match="short list"):
+        q.kinds_of_text(docs, words)
+    with pytest.raises(ValueError, match="short list"):
+        q.statistics(docs, words)
 
 
-def test_copies_make_no_pairs_known(spark):
+def test_salad_and_its_copies(spark):
+    """Neighbours that the punctuated texts do not know; a salad's own copies do not make them known."""
     rng = random.Random(3)
     letters = "abcdefghij"
     common = [a + b for a in letters for b in "aeiou"][:30]
-    prose = [" ".join(rng.choice(common) for _ in range(40)) + f". Is it {a}{b}?" for a in letters for b in letters]
+    prose = [" ".join(rng.choice(common) for _ in range(40)) + f". Is it {a}{b}, or not? No, it is." for a in letters for b in letters]
+    loose = [" ".join(prose[k].split(".")[0].split()[:20]) for k in range(5)]
     salad = " ".join("".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(40))
-    texts = prose + [f"{salad} {k}" if k % 2 else salad.upper() + "!" for k in range(60)]
-    docs, words = frames(spark, texts)
-    known = {r.pair for r in q.known_pairs(docs).select("pair").collect()}
-    assert len(known) >= 500 and not known & set(q.pairs_of(salad))
+    copies = [f"{salad} {k}" if k % 2 else salad for k in range(160)]
+    docs, words = frames(spark, prose + loose + copies)
     found = {r.doc_id for r in q.not_prose(q.kinds_of_text(docs, words)).collect()}
-    assert found == set(range(len(prose), len(texts)))
+    assert found == set(range(len(prose) + len(loose), len(prose) + len(loose) + len(copies)))

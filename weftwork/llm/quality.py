@@ -3,22 +3,29 @@
 ``statistics`` computes counts in the JVM: words, letters of words, symbols, lines,
 lines that end in punctuation, bullets, common words. ``rules`` applies fixed
 thresholds to them, those published for web corpora, and records every rule that
-fails. Whether a post is prose is decided line by line, since posts mix kinds:
-``prose_share`` names for every line the kind of its text and sums the characters.
+fails.
+
+Posts mix prose with other things and are often shorter than those thresholds
+suppose, so ``kinds_of_text`` takes the same statistics of every line (``linestats``,
+vectorised over a batch) and applies fixed thresholds to lines, ``LINE_RULES``, and to
+whole texts. The characters of lines that fail are summed by rule, and a text whose
+failing characters outweigh the rest is no prose; the rules that failed are recorded.
+Words that form no sentences show in no count of a single text. Texts with hardly a
+mark between their words are therefore measured by the share of their neighbouring
+words that also stand side by side in enough of the punctuated texts.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from functools import lru_cache
+import hashlib
 
+import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.session import written
+from weftwork.llm.linestats import line_table, word_hash
+from weftwork.session import fresh_folder
 
 #: Thresholds of the published rules, as (reason, SQL condition of failure).
 #: Word count, mean word length, symbols to words, bullets, words with a letter and stop
@@ -41,6 +48,18 @@ BULLET = r"^\s*(?:[-*•·▪+–]|\d{1,3}[.)]|\[[ xX*]?\])\s"
 COUNTS = ("n_words", "word_chars", "n_alpha_words", "n_symbols", "n_lines", "n_line_ends", "n_bullets", "n_common")
 
 
+#: Rows up to which a list of common words is a short one.
+MAX_COMMON = 10_000
+
+
+def listed_words(common_words: DataFrame) -> list[str]:
+    """The common words in lower case; a list longer than ``MAX_COMMON`` is an error, never cut."""
+    found = common_words.select("word").where("word is not null").distinct().limit(MAX_COMMON + 1).collect()
+    if len(found) > MAX_COMMON:
+        raise ValueError(f"common_words must be a short list, of at most {MAX_COMMON} words")
+    return sorted({r.word.lower() for r in found})
+
+
 def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """``doc_id``, ``n_chars`` and the counts of ``COUNTS``, all bigint.
 
@@ -49,9 +68,7 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     case. Null texts give no row; empty texts give zeros. The list is a fixed table
     of a few hundred words; it becomes a literal of the plan.
     """
-    listed = sorted({r.word.lower() for r in common_words.select("word").where("word is not null").distinct().limit(10_001).collect()})
-    if len(listed) > 10_000:
-        raise ValueError("common_words must be a short list")
+    listed = listed_words(common_words)
     is_common = F.create_map(*(x for w in listed for x in (F.lit(w), F.lit(True)))) if listed else None
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(r"\S"))
@@ -87,255 +104,164 @@ def rules(stats: DataFrame) -> DataFrame:
 
 # --- kinds of lines -----------------------------------------------------------------
 
-_CELL = re.compile(r"</(?:td|th)>\s*<(?:td|th)\b[^<>]*>", re.I)
-_ITEM = re.compile(r"<li\b[^<>]*>|\[\*\]", re.I)
-_BREAK = re.compile(r"</?(?:p|br|div|li|ul|ol|tr|table|blockquote|h[1-6]|pre)\b[^<>]*/?>|\\n", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!][^<>]{0,300}>|\[(?![xX]\])/?[a-zA-Z]+(?:=[^\]\n]{0,200})?\]|&(?:amp;)*(?:#?\w{2,31});|%[0-9A-Fa-f]{2}")
-_QUOTE = re.compile(r"^(?:\s*[>|:])+\s?")
-_LOG = re.compile(r"^\s*[\[(]?(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\d\d:\d\d:\d\d|\w{3} +\d+ \d\d:\d\d:\d\d)")
-_BULLET = re.compile(r"^\s*(?:[-*•·▪◦+–#]+|o|\d{1,3}[.)]|\(?[a-z]\)|\[[ xX*]?\])\s+")
-_URL = re.compile(r"\b(?:https?://|www\.)\S+", re.I)
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_END = re.compile(r"[.!?…。！？؟।:,][\"'”’)»\]]*\s*$|[.!?…][\"'”’)»\]]*\s*(?:[:;]-?[)D(]|\W{1,3})\s*$")
-_STOP = re.compile(r"[.!?…。！？؟।][\"'”’)»\]]*(?:\s|$)")
-#: A sentence ends within the line, which no row of figures does.
-_SENTENCE = re.compile(r"[^\W\d_][.!?…](?:\s|$)")
-_NUMBER = re.compile(r"(?<!\w)[-+$€£]?\d+(?:[.,:/]\d+)*%?(?!\w)")
-_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
-_SIGNS = regex.compile(r"[\p{Sc}\p{So}\p{Sm}\p{Sk}\p{Pf}\p{Pi}\p{No}\p{Cc}\p{Cn}]")
-#: Marks of things counted or ordered: an amount, a part number, a remark in brackets, a container.
-_STOCK = re.compile(r"(?:^|\s)x ?\d+$|\b[A-Z]{1,4}-\d+|\([^()]*\)$|^(?:to be \w+:|(?:set|pair|bit|box|lot) of\b)")
-#: Words that need a noun after them.
-_DETERMINERS = frozenset("the a an my your our its his their der die das den dem des ein eine le la les un une des du mon el los las una mi su".split())
-_CLEAN = re.compile(r"[\"'“”‘’(\[«¿¡*_]*[^\W\d_]+(?:['’/-][^\W\d_]+)*[.,;:!?…)\]\"'“”‘’»*_]*")
-_HEX = re.compile(r"[0-9a-fA-F]{2}|[0-9a-fA-F]{4}|[0-9a-fA-F]{8}")
-_VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôûæøåœëïãõıаеёиоуыэюяіїєαεηιουω")
-
-_NO_VOWELS = dict.fromkeys(map(ord, _VOWELS))
-
-
-@lru_cache(maxsize=200_000)
-def _odd(word: str) -> bool:
-    """A word that no language would write: no vowel, a long run of consonants, or one letter over and over."""
-    low = word.lower()
-    if not low.isascii():
-        return False
-    if len(low) >= 4 and (not _VOWELS & set(low) or _CONSONANTS.search(low)):
-        return True
-    return len(low) >= 6 and _n_vowels(low) / len(low) < 0.2
-
-
-def _n_vowels(text: str) -> int:
-    return len(text) - len(text.translate(_NO_VOWELS))
-
-
-@lru_cache(maxsize=200_000)
-def _is_clean(piece: str) -> bool:
-    """A word with nothing but usual punctuation around it."""
-    return bool(_CLEAN.fullmatch(piece))
-
-
-def _visible(text: str) -> int:
-    """Characters that are no blanks."""
-    return len("".join(text.split()))
-
-
-def line_kind(line: str, common: frozenset[str]) -> str:
-    """The kind of a line's text: ``prose`` or what else it is."""
-    text = line.strip()
-    if not text:
-        return "prose"
-    body = _BULLET.sub("", text)
-    bullet = len(body) < len(text)
-    if _LOG.match(text):
-        return "log"
-    without = _URL.sub(" ", text)
-    if len(without.strip()) < 0.4 * len(text) and len(_WORD.findall(without)) < 4:
-        return "links"
-    words = _WORD.findall(without)
-    letters = sum(map(len, words))
-    solid = _visible(without) or 1
-    figures = sum(len(m.group()) for m in _NUMBER.finditer(without))
-    pieces = without.split()
-    n_common = sum(w.lower() in common for w in words)
-    ends = bool(_END.search(text))
-    if len(words) == 0:
-        return "figures" if figures else "symbols"
-    if max(map(len, pieces)) >= 40 and sum(len(p) for p in pieces if len(p) >= 40) > 0.5 * solid:
-        return "encoded"
-    if len(pieces) >= 4 and sum((len(p) in (2, 4, 8) and bool(_HEX.fullmatch(p))) for p in pieces) > 0.8 * len(pieces):
-        return "encoded"
-    cells = max(text.count("|"), text.count("│"), text.count("\t"), text.count("¦"))
-    if cells >= 2 or (cells == 1 and figures > 0):
-        return "table"
-    if re.search(r"\.{3,}\s*[-\d][\d.,]*\s*$", text):
-        return "table"
-    if re.search(r"_{4,}|\S {3,}\S.*\S {2,}\S| {3,}[-\d.,]+\s*$", text) and not _SENTENCE.search(text):
-        return "table"
-    if len(re.findall(r"\b\w+\s?=\s?[^\s=]", text)) >= 2:
-        return "table"
-    if (figures > 0.35 * solid and not (ends and n_common >= 2)) or (
-        len(re.findall(r"[;,]", text)) >= 3 and sum(bool(_NUMBER.fullmatch(p.strip())) for p in re.split(r"[;,]", text)) >= 3
-    ):
-        return "figures"
-    values = re.split(r"[;,](?=\S)", text)
-    if len(values) >= 3 and sum(bool(_NUMBER.fullmatch(v.strip())) for v in values[1:]) == len(values) - 1:
-        return "figures"
-    if letters < 0.5 * solid:
-        return "symbols"
-    clean = sum(map(_is_clean, pieces))
-    if len(pieces) >= 5 and clean < 0.5 * len(pieces) and n_common < 0.15 * len(words):
-        return "symbols"
-    odd = sum(len(w) for w in words if _odd(w))
-    if letters >= 12 and odd > 0.4 * letters:
-        return "noise"
-    if letters >= 25:
-        low = "".join(words).lower()
-        if low.isascii() and _n_vowels(low) < 0.28 * letters and n_common < 0.1 * len(words):
-            return "noise"
-    if bullet and not (_STOP.search(body) and len(words) >= 4):
-        return "list"
-    signs = len(_SIGNS.findall(without))
-    if signs > 0.25 * solid:
-        return "symbols"
-    parts = [p for p in re.split(r"\s*[;/•|]\s*|,\s+", re.sub(r"^[\w ]{1,20}:\s*", "", body)) if p]
-    if len(parts) >= 4 and not _STOP.search(text) and sum(len(p.split()) <= 4 for p in parts) >= 0.75 * len(parts) and n_common < 0.25 * len(words):
-        return "list"
-    if len(parts) >= 4 and not _STOP.search(text) and 5 * sum(bool(_STOCK.search(p)) for p in parts) >= len(parts):
-        return "list"
-    return "prose"
-
-
-def _unrolled(text: str) -> tuple[str, int]:
-    """Text with block markup as line breaks and other markup removed, and the number of characters of markup."""
-    plain = _CELL.sub(" | ", text)
-    plain = _ITEM.sub("\n- ", plain)
-    plain = _BREAK.sub("\n", plain)
-    plain = _TAG.sub("", plain)
-    plain = html.unescape(plain)
-    return plain, max(0, len(text) - len(plain))
-
-
-def _repeats(words: list[str], window: int = 12) -> list[bool]:
-    """For each word, whether a window around it holds at most three different words."""
-    out = [False] * len(words)
-    low = [w.lower().strip(".,;:!?") for w in words]
-    for i in range(0, max(0, len(low) - window + 1)):
-        if len(set(low[i : i + window])) <= 3:
-            out[i : i + window] = [True] * window
-    return out
-
-
-def _loose_list(lines: list[str]) -> bool:
-    """Whether unpunctuated short lines are entries of a list: some carry an amount or a part number."""
-    marks = sum(bool(_STOCK.search(x.strip())) for x in lines)
-    return len(lines) >= 4 and marks >= 1 and marks >= 0.12 * len(lines)
-
-
-def pairs_of(text: str) -> list[str]:
-    """Neighbouring words in lower case, figures as 0."""
-    words = [w if not w.isdigit() else "0" for w in re.findall(r"[^\W\d_]+|\d+", text.lower())]
-    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-
-
-def is_salad(text: str, common: frozenset[str], known: frozenset[str], least: int = 12, share: float = 0.3, enough: int = 500) -> bool:
-    """Words that form no sentences: few neighbours that the corpus knows, hardly a stop or comma, and articles without a noun
-    unless the neighbours are strangers almost throughout.
-
-    A corpus too small to know ``enough`` pairs decides nothing.
-    """
-    pairs = pairs_of(text)
-    if len(pairs) < least or len(known) < enough:
-        return False
-    n_known = sum(p in known for p in pairs)
-    if n_known >= share * len(pairs):
-        return False
-    if 25 * len(re.findall(r"[.!?,;:](?=\s+\S)", text)) > len(pairs):
-        return False
-    if 3 * n_known < 2 * share * len(pairs):
-        return True
-    after = [p.split(" ")[1] for p in pairs if p.split(" ")[0] in _DETERMINERS]
-    return len(after) < 3 or sum(w in common for w in after) >= 0.15 * len(after)
-
-
-def prose_share(text: str, common: frozenset[str], known: frozenset[str] = frozenset()) -> tuple[int, int, str]:
-    """(characters of prose, characters of anything else, kind with most characters among the rest).
-
-    Blanks do not count, markup only where it outweighs everything else.
-    """
-    plain, markup = _unrolled(text)
-    amounts: dict[str, int] = {}
-    prose_lines = []
-    for line in re.split(r"\r?\n", plain):
-        line = _QUOTE.sub("", line)
-        size = _visible(line)
-        if size:
-            kind = line_kind(line, common)
-            if kind == "prose":
-                prose_lines.append(line)
-            amounts[kind] = amounts.get(kind, 0) + size
-    prose = amounts.pop("prose", 0)
-
-    def move(amount: int, kind: str) -> None:
-        nonlocal prose
-        amount = min(prose, amount)
-        prose -= amount
-        if amount:
-            amounts[kind] = amounts.get(kind, 0) + amount
-
-    short = [x for x in prose_lines if not _END.search(x) and len(x.split()) <= 9]
-    if _loose_list(short):
-        move(sum(map(_visible, short)), "list")
-    if is_salad("\n".join(prose_lines), common, known):
-        move(prose, "salad")
-    pieces = plain.split()
-    if len(pieces) >= 12:
-        move(sum(len(p) for p, again in zip(pieces, _repeats(pieces), strict=True) if again), "repeats")
-    if markup > 3 * (prose + sum(amounts.values())):
-        amounts["markup"] = markup
-    most = max(amounts, key=lambda k: (amounts[k], k), default="")
-    return prose, sum(amounts.values()), most
-
-
-#: A pair of words is known if this share of the different texts holds it, and ``LEAST_DOCS`` do.
+#: Thresholds on the statistics of a line (see ``linestats``), as (reason, condition
+#: of failure); the first that fails names the line. Like the published ones they bound the
+#: shares of letters, symbols, long words, bullets, line ends and common words.
+LINE_RULES = (
+    ("links", "(5 * url > 3 * visible) & (words < 4)"),
+    ("log", "clock > 0"),
+    ("figures", "(words == 0) & (digits > 0)"),
+    ("symbols", "words == 0"),
+    ("encoded", "(2 * long > solid) | ((tokens >= 4) & (5 * hex > 4 * tokens))"),
+    ("table", "(cells >= 2) | ((cells == 1) & (digits > 0)) | (equals >= 2)"),
+    ("table", "((fillers > 0) & (ends == 0) & (digits > 0)) | ((gaps > 0) & (stops == 0))"),
+    ("figures", "(20 * digits > 7 * solid) & ~((ends == 1) & (common >= 2))"),
+    ("figures", "(parts >= 2) & (fields >= 1) & (stops == 0) & (ends == 0)"),
+    ("symbols", "2 * letters < solid"),
+    ("symbols", "(4 * signs > solid) | ((5 * signs > solid) & (10 * common < words))"),
+    ("noise", "(letters >= 12) & (5 * odd > 2 * letters)"),
+    ("noise", "(ascii >= 25) & (ascii == letters) & (100 * vowels < 28 * ascii) & (10 * common < words)"),
+    ("list", "(bullet == 1) & ~((stops > 0) & (words >= 4))"),
+    ("list", "(parts >= 3) & (stops == 0) & (words <= 4 * (parts + 1)) & (5 * common < 2 * words)"),
+    ("list", "(parts >= 3) & (stops == 0) & (5 * stock >= parts)"),
+)
+#: All reasons; the last three are those of whole texts.
+REASONS = (*dict.fromkeys(name for name, _ in LINE_RULES), "repeats", "salad", "markup")
+_CONDITIONS = [(name, compile(test, name, "eval")) for name, test in LINE_RULES]
+
+#: A pair of words is known if this share of the texts holds it, and ``LEAST_DOCS`` do.
 PAIR_SHARE = 1 / 1500
 LEAST_DOCS = 3
+#: Texts of fewer pairs are not asked whether their words form sentences; those where a
+#: smaller share of the pairs is known do not form any.
+LEAST_PAIRS = 11
+KNOWN_SHARE = 0.3
+#: Texts that know fewer pairs in all are too few to say what forms sentences.
+ENOUGH_PAIRS = 200
+#: Texts of a batch that are measured together, so that the arrays stay in the cache.
+TOGETHER = 512
 
 
-def known_pairs(documents: DataFrame, share: float = PAIR_SHARE, least: int = LEAST_DOCS) -> DataFrame:
-    """``pair, n_docs``: neighbouring words that occur in enough different texts.
+def measured(texts: list[str], common: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(a row for each text, text of each pair, hash of each pair of neighbouring words).
 
-    Counted over all texts; those of the same words, figures as 0, count once, so that
-    no post makes its own pairs known by its copies. A text of n words has fewer than n
-    pairs, so at most (mean words per text) / ``share`` pairs can reach the share: a few
-    hundred thousand, whatever the number of texts.
+    Rows hold ``prose`` and one column for each of ``REASONS`` with the visible
+    characters that fail it, and ``loose``: enough words and hardly a mark between them.
     """
-    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+|\d+)"), F.lit(1)), lambda w: F.when(w.rlike(r"^\d"), "0").otherwise(w))
-    texts = written(documents.select("text").where("text is not null").select(F.array_join(words, " ").alias("words")).distinct(), "texts")
-    split = texts.select(F.split("words", " ").alias("w"))
-    pairs = F.when(
-        F.size("w") > 1, F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    )
-    total = texts.count()
-    counted = split.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
-    return counted.where(F.col("n_docs") >= max(least, total * share))
-
-
-def kinds_of_text(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """``doc_id, n_prose, n_other, other_kind``: visible characters of prose and of anything else.
-
-    Null texts give no row; texts without visible characters give zeros.
+    lines, whole, pair_text, pairs = line_table(texts, common)
+    n = len(texts)
+    of = {c: lines[c].to_numpy() for c in lines}
+    of["solid"] = of["visible"] - of["url"]
+    text, visible = of["text"], of["visible"]
+    free = visible > 0
+    out = pd.DataFrame(0, index=range(n), columns=["prose", *REASONS], dtype="int64")
+    for name, test in _CONDITIONS:
+        hit = free & eval(test, {}, of)
+        out[name] += np.bincount(text[hit], visible[hit], n).astype("int64")
+        free &= ~hit
+    out["prose"] = np.bincount(text[free], visible[free], n).astype("int64")
+
+    def move(amount: np.ndarray, name: str) -> None:
+        amount = np.minimum(out["prose"], amount.astype("int64"))
+        out["prose"] -= amount
+        out[name] += amount
+
+    # short lines without an end are entries of a list where some carry an amount or a part number and few words are common
+    short = free & (of["ends"] == 0) & (of["tokens"] <= 9)
+    stock = (of["stock"] > 0) & (short | (~free & (visible > 0)))
+    n_short, n_stock = np.bincount(text, short | stock, n), np.bincount(text, stock, n)
+    few_common = 5 * np.bincount(text, np.where(short, of["common"], 0), n) <= 2 * np.bincount(text, np.where(short, of["words"], 0), n)
+    entries = (n_short >= 4) & (10 * n_stock >= n_short) & few_common
+    move(np.where(entries, np.bincount(text, np.where(short, visible, 0), n), 0), "list")
+    move(np.where((whole["tokens"] >= 12) & (5 * whole["repeated"] > out["prose"]), whole["repeated"], 0), "repeats")
+    rest = out.sum(axis=1)
+    out["markup"] = np.where(whole["markup"] > 3 * rest, whole["markup"], 0)
+    n_pairs = np.bincount(pair_text, minlength=n)
+    out["loose"] = (n_pairs >= LEAST_PAIRS) & (25 * whole["inner"] < whole["words"])
+    return out, pair_text, pairs
+
+
+_MEASURES = "what int, doc_id bigint, key bigint, pair bigint, n bigint, " + ", ".join(f"{c} bigint" for c in ("prose", *REASONS))
+_TEXTS, _ASKED, _SEEN = range(3)
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def measures(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+    """One pass over the texts: rows of three kinds (``what``).
+
+    ``_TEXTS``: a row for each text with its characters by rule, and ``key``, a hash of
+    the text, if it is loose. ``_ASKED``: ``key, pair`` of the loose texts, equal texts
+    of a batch once. ``_SEEN``: ``pair, n``, in how many of the other texts of a batch a
+    pair stands, so that no loose text, however often copied, makes its own pairs known.
     """
-    spark = documents.sparkSession
-    common = spark.sparkContext.broadcast(frozenset(r.word.lower() for r in common_words.select("word").where("word is not null").distinct().limit(10_000).collect()))
-    known = spark.sparkContext.broadcast(frozenset(r.pair for r in known_pairs(documents).select("pair").collect()))  # bounded, see known_pairs
+    listed = np.array(sorted(word_hash(w) for w in listed_words(common_words)), np.uint64)
+    names = [c.split()[0] for c in _MEASURES.split(", ")]
 
     def read(batches):
         for batch in batches:
-            rows = [(d, *prose_share(t, common.value, known.value)) for d, t in zip(batch["doc_id"], batch["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_prose", "n_other", "other_kind"])
-
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(read, "doc_id bigint, n_prose bigint, n_other bigint, other_kind string")
+            seen: dict[int, int] = {}
+            for low in range(0, len(batch), TOGETHER):
+                part = batch.iloc[low : low + TOGETHER]
+                texts = part["text"].tolist()
+                rows, at, pairs = measured(texts, listed)
+                loose = rows.pop("loose").to_numpy()
+                key = pd.array([_key(t) if x else None for t, x in zip(texts, loose, strict=True)], dtype="Int64")
+                yield rows.assign(what=_TEXTS, doc_id=part["doc_id"].to_numpy(), key=key, pair=pd.NA, n=pd.NA)[names]
+                asked = pd.DataFrame({"key": key[at], "pair": pairs, "at": at})[loose[at]]
+                first = asked.groupby("key")["at"].transform("min")
+                asked = asked[asked["at"] == first]
+                yield pd.DataFrame({"what": _ASKED, "key": asked["key"], "pair": asked["pair"]}).reindex(columns=names)
+                # each pair once a text
+                mine = ~loose[at]
+                order = np.lexsort((pairs[mine], at[mine]))
+                p, a = pairs[mine][order], at[mine][order]
+                fresh = np.ones(len(p), bool)
+                fresh[1:] = (p[1:] != p[:-1]) | (a[1:] != a[:-1])
+                values, counts = np.unique(p[fresh], return_counts=True)
+                for v, c in zip(values.tolist(), counts.tolist(), strict=True):
+                    seen[v] = seen.get(v, 0) + c
+            yield pd.DataFrame({"what": _SEEN, "pair": list(seen), "n": list(seen.values())}).reindex(columns=names)
+
+    return documents.select("doc_id", "text").where("text is not null").mapInPandas(read, _MEASURES)
+
+
+def kinds_of_text(documents: DataFrame, common_words: DataFrame, share: float = PAIR_SHARE, least: int = LEAST_DOCS) -> DataFrame:
+    """``doc_id, n_prose, n_other, other_kind, reasons``: visible characters of prose and of anything else.
+
+    ``other_kind`` is the rule most of the other characters fail ('' if none), ``reasons``
+    all that fail, by commas. Null texts give no row; texts without visible characters
+    give zeros. A text sent twice gives a row each time. Where the punctuated texts know
+    fewer than ``ENOUGH_PAIRS`` pairs, no text fails for its pairs.
+    """
+    spark = documents.sparkSession
+    path = fresh_folder(spark, "measures")
+    measures(documents, common_words).write.partitionBy("what").parquet(path)
+    rows = spark.read.schema(_MEASURES).parquet(path)
+    texts = rows.where(F.col("what") == _TEXTS).select("doc_id", "key", "prose", *REASONS)
+    total = texts.count()
+    known = rows.where(F.col("what") == _SEEN).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, total * share)).select("pair", F.lit(1).alias("known"))
+    if known.count() < ENOUGH_PAIRS:
+        known = known.where("false")
+        needed = 0.0
+    else:
+        needed = KNOWN_SHARE
+    asked = rows.where(F.col("what") == _ASKED).groupBy("key", "pair").agg(F.count("*").alias("n"))
+    odd = asked.join(known, "pair", "left").groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("known")).alias("k"))
+    odd = odd.where(F.coalesce("k", F.lit(0)) < needed * F.col("n")).select("key", F.lit(True).alias("odd"))
+    # texts without a key stay out of the join, where they would be one hot key
+    plain = texts.where("key is null").withColumn("odd", F.lit(False))
+    judged = texts.where("key is not null").join(odd, "key", "left").select(*plain.columns).unionByName(plain)
+    moved = F.when(F.col("odd"), F.col("prose")).otherwise(0)
+    judged = judged.withColumns({"salad": moved, "prose": F.col("prose") - moved})
+    amounts = [F.col(c) for c in REASONS]
+    main = F.array_max(F.array(*(F.struct(F.col(c).alias("n"), F.lit(c).alias("name")) for c in REASONS)))
+    return judged.select(
+        "doc_id", F.col("prose").alias("n_prose"), sum(amounts[1:], amounts[0]).alias("n_other"),
+        F.when(main["n"] > 0, main["name"]).otherwise("").alias("other_kind"), F.concat_ws(",", *(F.when(F.col(c) > 0, c) for c in REASONS)).alias("reasons"),
+    )
 
 
 def not_prose(kinds: DataFrame) -> DataFrame:
