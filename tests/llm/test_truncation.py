@@ -5,9 +5,9 @@ from weftwork.llm import truncation as tr
 BODY = '{"nodes": [{"id": "1", "label": "A, [x]}"}], "edges": [{"id": "e", "source": "1", "target": "1"}]}'
 SAID = ["I hope this helps. Some were implied.", "Done :)", "Total: 4 nodes, 6 edges"]
 REFUSAL = "I could not find any entities in this text."
-WHOLE = [BODY, f"```json\n{BODY}\n```", "Sure! Here it is:\n" + BODY, BODY.replace("]}", ",]}"), BODY.replace('"', "'"), BODY.replace('"A, [x]}"', '"A'), REFUSAL, "null", '"no graph"', "[]", "{}"]
+WHOLE = [BODY, f"```json\n{BODY}\n```", "Sure! Here it is:\n" + BODY, BODY.replace("]}", ",]}"), BODY.replace('"', "'"), BODY.replace('"A, [x]}"', '"A'), REFUSAL, "null", '"no graph"', "[]", "{}", "[null]", "[true]"]
 WHOLE += [f"{BODY}\n\n{s}" for s in SAID] + [f"```\n{BODY}\n```\n\n{s}" for s in SAID]
-CUT = [BODY[:n] for n in (5, 30, 60, len(BODY) - 1, len(BODY) - 2)] + [BODY[:40] + m for m in ("…", "...", " [truncated]", "\n```", "�")]
+CUT = [BODY[:n] for n in (5, 30, 60, len(BODY) - 1, len(BODY) - 2)] + [BODY[:40] + m for m in ("…", "...", " [truncated]", "...[cut]", " [stopped]", "\n```", "�")] + [REFUSAL[:-9] + "...[cut]", f"{BODY}\n\n{SAID[0][:12]}…[cut]"]
 CUT += [f"```json\n{BODY}", REFUSAL[:20], REFUSAL[:-1], "Sure! Here", f"{BODY}\n\n{SAID[0][:9]}", f"{BODY}\n\nTotal: 9 nodes, 3", f"```\n{BODY}\n```\n\nDo", "```json\n"]
 COLUMNS = "graph_id bigint, attempt int, provider string, model string, raw string, state string, value string"
 

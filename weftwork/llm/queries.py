@@ -71,6 +71,12 @@ def p5_report(spark, folder):
     return truncation.cut_report(truncation.cut_replies(table(spark, folder, "replies")))
 
 
+def p5_copies(spark, folder):
+    """Whole replies that are strict prefixes of a longer reply."""
+    values = table(spark, folder, "replies").select(F.lit("raw").alias("kind"), F.col("raw").alias("value"))
+    return truncation.prefixes_of_longer(values)
+
+
 def p6_found(spark, folder):
     """Requests that had to be cut: those with a second piece."""
     return splitting.split_texts(table(spark, folder, "requests")).where("piece_no = 1").select("request_id").distinct()
@@ -120,7 +126,7 @@ def p8_leaked_items(spark, folder):
 QUERIES = {
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics,
     "p1_found": p1_found, "p1_spellings": p1_spellings,
-    "p5_found": p5_found, "p5_report": p5_report,
+    "p5_found": p5_found, "p5_report": p5_report, "p5_copies": p5_copies,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
     "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
 
@@ -155,6 +161,8 @@ ORACLE = {
       len(list_filter(words, lambda w: list_contains(l, regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))) AS n_common
     FROM split, listed)
   SELECT *, concat_ws(',', {_REASONS}) AS reasons FROM stats""",
+    "p5_copies": """SELECT DISTINCT 'raw' AS kind, md5(a.raw) AS value_id FROM replies a
+  WHERE a.raw <> '' AND EXISTS (SELECT 1 FROM replies b WHERE length(b.raw) > length(a.raw) AND starts_with(b.raw, a.raw))""",
     "p6_found": f"SELECT DISTINCT request_id FROM requests WHERE regexp_matches(text, '{VISIBLE}') AND length(text) > max_chars",
     "p4_found": f"""WITH {_terms_sql("nodes")},
   total AS (SELECT 'n' AS t, count(DISTINCT graph_id) AS n FROM nodes UNION ALL SELECT 'e', count(DISTINCT graph_id) FROM edges)

@@ -6,12 +6,13 @@ look for elsewhere: preambles and remarks as they are, JSON as its skeleton, in
 every scalar is one mark and runs of equal list items are one item, so that replies
 of one style share their skeletons whatever they say.
 
-A self-join by prefix decides: all distinct values are sorted, and a value has a
+A self-join by prefix shows cuts: all distinct values are sorted, and a value has a
 longer copy exactly if the next value in order starts with it. The part that stands
 last in a reply counts as cut if it has a longer copy and, for JSON, does not close.
-JSON that never closes counts as cut also without a longer copy. The sort is by
-range over distinct values; neighbours across partition borders are compared through
-the first value of each partition.
+JSON that never closes counts as cut also without a longer copy, as its own column
+``open`` says, since few cut replies have a twin. The sort is by range over distinct
+values; neighbours across partition borders are compared through the first value of
+each partition. Every reply is read once; what was read is written before it is joined.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.operators.repair import first_bracket, scan
-from weftwork.session import cut_lineage
+from weftwork.session import cut_lineage, written
 
-#: What is put behind a cut.
-_MARKS = re.compile(r"(?:\s|�|…|\.\.\.|\[truncated\])+$")
+#: What is put behind a cut: blanks, lost characters, ellipses, one word in brackets that is no value.
+_MARKS = re.compile(r"(?:\s|�|…|\.\.\.|\[(?!(?:null|true|false)\])[a-z]{3,20}\])+$")
 _FENCE_END = re.compile(r"\s*```\s*$")
 #: What JSON goes on with behind a bracket.
 _GOES_ON = (",", ":", '"', "'", "{", "[")
@@ -140,13 +141,14 @@ def endings(replies: DataFrame) -> DataFrame:
 
 
 def cut_replies(replies: DataFrame) -> DataFrame:
-    """``graph_id, attempt, provider, model, cut, by``: every reply with a text, whether it was cut and what shows it.
+    """``graph_id, attempt, provider, model, cut, by, open``: every reply with a text, whether it was cut and what shows it.
 
     ``by`` is ``prefix`` where a longer copy of its last part exists, ``open`` where
-    its JSON or fence never ended and no longer copy exists, else null. A reply
-    delivered twice appears twice.
+    its JSON or fence never ended and no longer copy exists, else null; ``open`` says
+    that it never ended, with a longer copy or without. A reply delivered twice appears
+    twice.
     """
-    rows = endings(replies)
+    rows = written(endings(replies), "endings")
     parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("head", "json", "remark")))
     longer = prefixes_of_longer(rows.select(F.explode(parts).alias("p")).select("p.kind", "p.value"))
     last = F.create_map(*(F.lit(x) for pair in _LAST.items() for x in pair))[F.col("state")]
@@ -154,11 +156,15 @@ def cut_replies(replies: DataFrame) -> DataFrame:
     asked = rows.withColumn("kind", last).withColumn("value_id", F.md5(value)).drop("head", "json", "remark")
     judged = asked.join(longer.withColumn("hit", F.lit(True)), ["kind", "value_id"], "left")
     by = F.when(F.col("hit"), "prefix").when(F.col("state") == "open", "open")
-    return judged.withColumn("by", by).select("graph_id", "attempt", "provider", "model", F.col("by").isNotNull().alias("cut"), "by")
+    return judged.withColumn("by", by).select("graph_id", "attempt", "provider", "model", F.col("by").isNotNull().alias("cut"), "by", (F.col("state") == "open").alias("open"))
 
 
 def cut_report(judged: DataFrame) -> DataFrame:
-    """``provider, model, n_replies, n_cut, n_by_prefix``: how often each source truncates."""
+    """``provider, model, n_replies, n_cut, n_by_prefix, n_only_prefix``: how often each source truncates.
+
+    ``n_by_prefix`` have a longer copy, ``n_only_prefix`` nothing else that shows the cut.
+    """
+    hit = F.col("by") == "prefix"
     return judged.groupBy("provider", "model").agg(
-        F.count("*").alias("n_replies"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("by") == "prefix").alias("n_by_prefix")
+        F.count("*").alias("n_replies"), F.count_if("cut").alias("n_cut"), F.count_if(hit).alias("n_by_prefix"), F.count_if(hit & ~F.col("open")).alias("n_only_prefix")
     )
