@@ -4,6 +4,7 @@ import random
 import pytest
 
 from weftwork.llm import packing as pk
+from weftwork.llm.queries import TOKENIZER
 
 
 def test_fullest_is_the_best_subset():
@@ -52,14 +53,23 @@ def test_containers(spark):
 
 @pytest.mark.parametrize("capacity", [16, 64])
 def test_items_round_trip(spark, capacity):
-    texts = ["short", "", None, "word " * 300, "\U0001f469‍\U0001f467" * 40, "x" * 2000, "<|endoftext|> a", "Grüße, 你好。" * 50]
+    texts = ["short", "", None, "word " * 300, "\U0001f469‍\U0001f467" * 40, "x" * 2000, "<|endoftext|> a", "Grüße, 你好。" * 50, "y" * 200_000, " " * 200_000, "\n\n" * 50_000]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, n_tokens int")
-    rows = pk.token_items(docs, capacity=capacity).collect()
-    model = pk._tokenizer(pk.TOKENIZER)
+    rows = pk.token_items(docs, TOKENIZER, capacity).collect()
+    model = pk.tokenizer(TOKENIZER)
     for k, text in enumerate(texts):
         mine = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece_no)
         assert "".join((text or "")[r.start_at : r.end_at] for r in mine) == (text or "")
         for r in mine:
-            assert r.n_tokens == len(model.encode((text or "")[r.start_at : r.end_at], add_special_tokens=False).ids)
+            assert r.n_tokens == len(model.encode_ordinary((text or "")[r.start_at : r.end_at]))
             assert r.n_tokens <= capacity or r.end_at - r.start_at == 1
     assert [r.n_tokens for r in rows if r.doc_id == 6][0] > 2
+
+
+def test_token_starts():
+    model = pk.tokenizer(TOKENIZER)
+    for text in ("plain words", "Grüße 你好 \U0001f469‍\U0001f467!", "é" * 30, ""):
+        tokens = model.encode_ordinary(text)
+        starts = pk.token_starts(text, tokens, model).tolist()
+        assert starts == sorted(starts) and (not text or starts[0] == 0)
+        assert starts == model.decode_with_offsets(tokens)[1] if text else starts == []

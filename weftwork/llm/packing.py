@@ -12,9 +12,10 @@ the container.
 
 from __future__ import annotations
 
+import base64
 import bisect
-import os
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,60 +26,64 @@ from weftwork.llm.splitting import pieces
 from weftwork.session import written
 
 CAPACITY = 2048
-#: Vocabulary file of a public tokenizer, one for the ``tokenizers`` library.
-TOKENIZER = os.environ.get("WEFTWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: Fixed value: how the byte-level vocabularies of 50,000 tokens cut a text before they merge bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ITEMS = "doc_id bigint, piece_no int, start_at int, end_at int, n_tokens int"
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+@lru_cache(maxsize=2)
+def tokenizer(path: str):
+    """The byte-level tokenizer of a file of ranks, as the ``tiktoken`` library reads them; once a worker."""
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_pieces(text: str, encoding, capacity: int, count) -> list[tuple[int, int, int]]:
+def token_starts(text: str, tokens: list[int], model) -> np.ndarray:
+    """For each token the character it begins in."""
+    sizes = np.fromiter((len(model.decode_single_token_bytes(t)) for t in tokens), np.int64, len(tokens))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    widths = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    begins = np.cumsum(widths) - widths
+    return np.searchsorted(begins, np.cumsum(sizes) - sizes, side="right") - 1
+
+
+def token_pieces(text: str, capacity: int, model) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces of a text under the capacity, each counted by itself.
 
     A piece that takes more tokens alone than within the text is cut again with a
     smaller limit; a single character of more tokens than the capacity stays whole.
     """
-    if len(encoding.ids) <= capacity:
-        return [(0, len(text), len(encoding.ids))]
-    starts = np.sort(np.array([a for a, _ in encoding.offsets]))
+    tokens = model.encode_ordinary(text)
+    if len(tokens) <= capacity:
+        return [(0, len(text), len(tokens))]
+    starts = token_starts(text, tokens, model)
     prefix = np.searchsorted(starts, np.arange(len(text) + 1), side="left")
     prefix[-1] = len(starts)
     limit = capacity
     while True:
         spans = [(a, b) for a, b, _ in pieces(text, limit, 0, prefix)]
-        sizes = [count(text[a:b]) for a, b in spans]
+        sizes = [len(model.encode_ordinary(text[a:b])) for a, b in spans]
         over = max(sizes) - capacity
         if over <= 0 or limit == 1:
             return [(a, b, n) for (a, b), n in zip(spans, sizes, strict=True)]
         limit = max(1, limit - over)
 
 
-def token_items(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+def token_items(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece_no, start_at, end_at, n_tokens``: every post, or its pieces if it exceeds the capacity.
 
-    Null and empty texts are one item of no tokens. Special tokens' names in a text
-    are ordinary text.
+    ``path`` is the file of a public byte-level vocabulary that every executor can read.
+    Null and empty texts are one item of no tokens. Special tokens' names in a text are
+    ordinary text.
     """
 
     def measure(batches):
-        model = _tokenizer(tokenizer)
-
-        def count(text: str) -> int:
-            return len(model.encode(text, add_special_tokens=False).ids)
-
+        model = tokenizer(path)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            rows = []
-            for low in range(0, len(texts), 256):
-                part = texts[low : low + 256]
-                for doc_id, text, encoding in zip(batch["doc_id"][low : low + 256], part, model.encode_batch(part, add_special_tokens=False), strict=True):
-                    rows += [(doc_id, k, *piece) for k, piece in enumerate(token_pieces(text, encoding, capacity, count))]
+            rows = [(doc_id, k, *piece) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True) for k, piece in enumerate(token_pieces(text or "", capacity, model))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "start_at", "end_at", "n_tokens"])
 
     return documents.select("doc_id", "text").mapInPandas(measure, ITEMS)

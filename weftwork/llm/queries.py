@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from weftwork.llm import canonical, leaks, names, packing, quality, splitting, terms, truncation
@@ -86,8 +88,12 @@ def p6_pieces(spark, folder):
     return splitting.split_texts(table(spark, folder, "requests"))
 
 
+#: Ranks of a public byte-level vocabulary of 50,000 tokens.
+TOKENIZER = os.environ.get("WEFTWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p7_containers(spark, folder):
-    return packing.containers(packing.token_items(table(spark, folder, "documents")))
+    return packing.containers(packing.token_items(table(spark, folder, "documents"), TOKENIZER))
 
 
 def p7_fill(spark, folder):
