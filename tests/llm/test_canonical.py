@@ -26,8 +26,8 @@ CASES = [
 
 def test_cases_both_ways(spark, vocab):
     rows = spark.createDataFrame([(k, *x[:2], "clash") for k, x in enumerate(CASES)], "k int, kind string, value string, name string")
-    for limit in (c.MAX_NAMES, 3):
-        got = {r.k: (r.canonical, r.exact) for r in c.map_values(rows, vocab, max_names=limit).collect()}
+    for limit in (c.MAX_KEYS, 3):
+        got = {r.k: (r.canonical, r.exact) for r in c.map_values(rows, vocab, max_keys=limit).collect()}
         for k, x in enumerate(CASES):
             assert got[k] == x[2:], (x, got[k], limit)
 
@@ -85,3 +85,12 @@ def test_symmetric_deletes_find_every_close_name():
         found = lexicon.find(typed)
         if exact:
             assert c.typo_cost(found, typed) <= min(c.typo_cost(n, typed) for n in exact) + 1e-9
+
+
+def test_long_compatibility_names_both_ways(spark):
+    """A character that stands for many counts as many, with the dictionary broadcast or joined."""
+    vocab = spark.createDataFrame([("node", "\ufdfa", None)], "kind string, canonical string, aliases array<string>")
+    rows = spark.createDataFrame([("node", "\ufdfa!")], "kind string, value string")
+    assert {c.map_values(rows, vocab, max_keys=limit).first().canonical for limit in (c.MAX_KEYS, 0)} == {"\ufdfa"}
+    names = c.vocabulary(spark.createDataFrame([("node", "abcd", ["xyz"])], "kind string, canonical string, aliases array<string>"))
+    assert c.key_count(names) == len(c.remains("abcd", 2)) + len(c.remains("xyz", 2))

@@ -31,9 +31,12 @@ def test_disguises(spark):
         "x" * 100_000 + " " + PASSAGE,
         "one line only of four",
         PASSAGE,
+        PASSAGE.replace(" ledger", f' <span style="{"color " * 200}">ledger</span>').replace(" town", f" [url={'u' * 900}]town[/url]"),
+        "<a " * 30_000 + PASSAGE,
+        "[url=" * 30_000 + PASSAGE,
     ]
     got = found(spark, texts)
-    assert {d for d, i in got if i == 1} == {0, 1, 2, 3, 4, 10, 12}
+    assert {d for d, i in got if i == 1} == {0, 1, 2, 3, 4, 10, 12, 13, 14, 15}
     assert {d for d, i in got if i == 5} == {11}
     assert not [1 for _, i in got if i in (2, 3, 4)]
     for d in (0, 1, 2, 3, 10):

@@ -38,6 +38,13 @@ def test_hard_cuts_keep_graphemes():
     assert all(b in borders for _, b, _ in sp.pieces(text, 12))
 
 
+def test_pieces_begin_with_whole_characters():
+    family = "\U0001f469\u200d\U0001f469\u200d\U0001f467"
+    text = (family + "ab. " + "abcdefgh. ") * 20
+    borders = {0, *(m.end() for m in regex.finditer(r"\X", text))}
+    assert all(a in borders and b in borders for a, b, _ in sp.pieces(text, 40, 6))
+
+
 def test_token_prefix_sums():
     text = "alpha beta gamma delta epsilon zeta"
     starts = [m.start() for m in regex.finditer(r"\S+", text)]

@@ -1,7 +1,10 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from weftwork.llm import terms
+from weftwork.session import fresh_folder
 
 NODES = "graph_id bigint, type string, label string, n int, term string, bucket int"
 EDGES = "graph_id bigint, type string, n int, field_name string"
@@ -60,11 +63,23 @@ def test_increments_equal_recount(spark):
     held = dict(counts.holds)
     counts.merge(terms.delta(terms.node_terms(one)))
     assert sum(counts.holds[b] != held.get(b) for b in counts.holds) <= 2 and before
+    again = terms.TermCounts.open(spark, counts.path)
+    assert (again.version, again.buckets, again.holds) == (counts.version, 8, counts.holds) and counted(again.state()) == counted(counts.state())
+    again.vacuum()
+    assert counted(terms.TermCounts.open(spark, counts.path).state()) == counted(counts.state())
     back, _ = frames([(3, "only", None, 1, "t", 0)], edges[:1])
     counts.merge(terms.delta(terms.node_terms(back, sign=-1)))
     assert counted(counts.state()) == want
 
 
+def test_open_and_buckets(spark):
+    with pytest.raises(FileNotFoundError):
+        terms.TermCounts.open(spark, fresh_folder(spark, "none"))
+    n, e = spark.createDataFrame([(1, "a", "b", 1, "t", 0)], NODES), spark.createDataFrame([], EDGES)
+    counts = terms.TermCounts.fresh(spark).merge(terms.delta(terms.node_terms(n), terms.edge_terms(e)))
+    assert counts.buckets == 16 and terms.TermCounts.open(spark, counts.path).holds == counts.holds
+
+
 def test_empty(spark):
     n, e = spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
     state = terms.TermCounts.fresh(spark, 4).merge(terms.delta(terms.node_terms(n), terms.edge_terms(e))).state()

@@ -5,8 +5,8 @@ two characters in all ways; equal remains propose a pair, whose weighted
 Damerau-Levenshtein distance decides, names seen more often winning ties. Values
 that no name explains map to ``NONE`` and are reported.
 
-The dictionary goes to the executors as a broadcast only while the list is within
-``max_names``; the rows then never shuffle. A larger list takes ``map_distinct``,
+The dictionary goes to the executors as a broadcast only while its keys are within
+``max_keys``; the rows then never shuffle. A larger list takes ``map_distinct``,
 which joins the remains of the distinct values with those of the names.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from weftwork.functions.text import has_text
 
 NONE = "(none)"
-#: Names up to which the dictionary is broadcast.
-MAX_NAMES = 50_000
+#: Keys up to which the dictionary is broadcast, about 200 MB in a worker.
+MAX_KEYS = 2_000_000
 #: Rows of the keyboard, for typing errors between neighbours.
 KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -172,7 +172,13 @@ def frequencies(rows: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(seen, ["kind", "canonical"], "left").fillna(0, ["frequency"])
 
 
-def map_values(rows: DataFrame, vocab: DataFrame, max_names: int = MAX_NAMES) -> DataFrame:
+def key_count(names: DataFrame) -> int:
+    """At most how many keys the dictionary has: a name of n characters leaves 1 + n + n(n-1)/2 remains."""
+    n = F.length("name").cast("double")
+    return int(names.agg(F.sum(1 + n + n * (n - 1) / 2)).first()[0] or 0)
+
+
+def map_values(rows: DataFrame, vocab: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
     """``rows`` (``kind``, ``value`` and others) with ``canonical`` and ``exact``.
 
     ``exact`` is true where the value is a canonical of its kind as stored. Null and
@@ -180,12 +186,11 @@ def map_values(rows: DataFrame, vocab: DataFrame, max_names: int = MAX_NAMES) ->
     canonical. Aliases and letter case never make a value exact.
     """
     names = vocabulary(vocab)
-    small = names.limit(max_names + 1).count() <= max_names
-    if not small:
+    if key_count(names) > max_keys:
         return map_distinct(rows, names)
     spark = rows.sparkSession
     listed = defaultdict(list)
-    for row in frequencies(rows, names).collect():  # at most max_names rows
+    for row in frequencies(rows, names).collect():  # at most max_keys rows
         listed[row.kind].append((row.name, row.canonical, row.frequency))
     shared = spark.sparkContext.broadcast({kind: Lexicon(sorted(entries)) for kind, entries in listed.items()})
     exact = {(kind, canonical) for kind, entries in listed.items() for _, canonical, _ in entries}
@@ -211,7 +216,13 @@ def map_distinct(rows: DataFrame, names: DataFrame) -> DataFrame:
     seen = rows.join(names.select("kind", F.col("canonical").alias("value")).distinct(), ["kind", "value"], "left_semi")
     seen = seen.groupBy("kind", F.col("value").alias("canonical")).agg(F.count("*").alias("frequency"))
     names = names.join(seen, ["kind", "canonical"], "left").fillna(0, ["frequency"])
-    longest = (names.agg(F.max(F.length("name"))).first()[0] or 0) + 2
+
+    @F.pandas_udf("int")
+    def squashed_length(name: pd.Series) -> pd.Series:
+        return name.map(lambda n: len(squash(n)))
+
+    # measured as ``Lexicon`` does
+    longest = (names.agg(F.max(squashed_length("name"))).first()[0] or 0) + 2
 
     @F.pandas_udf("array<struct<form string, rest string>>")
     def of_name(name: pd.Series) -> pd.Series:

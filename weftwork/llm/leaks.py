@@ -5,12 +5,13 @@ items. A post's text is reduced to its letters and digits, without markup, and r
 once; hits must start and end at word borders. A hit marks its words of the item as
 covered, and an item counts as leaked into a post once the marked share is reached.
 Every normalised character knows its place in the original, so matches come with
-offsets. The automaton holds at most ``block_chars`` characters of items; more items
-are taken in blocks, each read against all posts.
+offsets. The automaton holds at most ``block_chars`` characters of items and is built
+once in a worker; more items are taken in blocks, each read against all posts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -31,7 +32,7 @@ BLOCK_CHARS = 8_000_000
 
 #: Markup to drop, entities, apostrophes to drop, words.
 _PIECE = re.compile(
-    r"(?P<mark><[a-zA-Z/!][^<>]{0,500}>|\[/?(?:quote|b|i|u|s|url|img|code|list|size|color|font|left|center|spoiler|\*)(?:=[^\]\n]{0,200})?\])"
+    r"(?P<mark><[a-zA-Z/!][^<>]*>|\[/?(?:quote|b|i|u|s|url|img|code|list|size|color|font|left|center|spoiler|\*)(?:=[^\[\]\n]*)?\])"
     r"|(?P<entity>&(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,31});)"
     r"|(?P<word>[^\W_]+(?:['’‘ʼ`´­​-‍⁠﻿]+[^\W_]+)*)",
     re.IGNORECASE,
@@ -148,6 +149,17 @@ class Leaks:
         ]
 
 
+#: The automaton this process built last, under the digest of its items, for the next tasks of a worker.
+_BUILT: dict[str, Leaks] = {}
+
+
+def _built(digest: str, items, run: int, share: float) -> Leaks:
+    if digest not in _BUILT:
+        _BUILT.clear()
+        _BUILT[digest] = Leaks(items, run, share)
+    return _BUILT[digest]
+
+
 def without_instruction(items: DataFrame) -> DataFrame:
     """``item_id, text`` without a first line that items with different texts share.
 
@@ -179,10 +191,12 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, share: float =
     found = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about block_chars characters
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in mine])
+        listed = [(r.item_id, r.text) for r in mine]
+        shared = spark.sparkContext.broadcast(listed)
+        digest = hashlib.md5(repr((listed, run, share)).encode("utf-8", "surrogatepass")).hexdigest()
 
-        def scan(batches, shared=shared):
-            matcher = Leaks(shared.value, run, share)
+        def scan(batches, shared=shared, digest=digest):
+            matcher = _built(digest, shared.value, run, share)
             for batch in batches:
                 rows = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in matcher.find(text)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "n_covered", "start_at", "end_at"])

@@ -11,10 +11,16 @@ from weftwork.plans.references import VISIBLE
 from weftwork.sources.tables import table
 
 
+def _late(rows):
+    return F.coalesce(F.col("arrived_at") >= F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False))
+
+
 def _term_state(spark, folder):
-    """All rows as one delta against empty counts."""
-    change = terms.delta(terms.node_terms(table(spark, folder, "nodes")), terms.edge_terms(table(spark, folder, "edges")))
-    return terms.TermCounts.fresh(spark).merge(change).state()
+    """The rows of a first load, stored, and then the later ones as a delta against the stored counts."""
+    nodes, edges = table(spark, folder, "nodes"), table(spark, folder, "edges")
+    first = terms.TermCounts.fresh(spark).merge(terms.delta(terms.node_terms(nodes.where(~_late(nodes))), terms.edge_terms(edges.where(~_late(edges)))))
+    counts = terms.TermCounts.open(spark, first.path)
+    return counts.merge(terms.delta(terms.node_terms(nodes.where(_late(nodes))), terms.edge_terms(edges.where(_late(edges))))).state()
 
 
 def p4_found(spark, folder):
@@ -28,7 +34,7 @@ def p4_terms(spark, folder):
 def p4_increment(spark, folder):
     """Counts after a second delta: late rows are added, deleted nodes removed."""
     nodes, edges = table(spark, folder, "nodes"), table(spark, folder, "edges")
-    late = F.coalesce(F.col("arrived_at") >= F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False))
+    late = _late(nodes)
     counts = terms.TermCounts.fresh(spark)
     counts.merge(terms.delta(terms.node_terms(nodes.where(~late)), terms.edge_terms(edges.where(~late))))
     counts.merge(
@@ -60,6 +66,13 @@ def p3_found(spark, folder):
     return _mapped(spark, folder).where(~F.col("exact")).select("kind", "row_key", "canonical").distinct()
 
 
+def p3_stored(spark, folder):
+    """Rows whose value is, as stored, a name of one entry alone."""
+    vocab = table(spark, folder, "type_vocab")
+    names = canonical.vocabulary(vocab).groupBy("kind", F.col("name").alias("value")).agg(F.count_distinct("canonical").alias("k")).where("k = 1").select("kind", "value")
+    return _mapped(spark, folder).join(names, ["kind", "value"], "left_semi").select("kind", "row_key", "canonical")
+
+
 def p3_misses(spark, folder):
     """Values that no entry explains, with their rows."""
     return _mapped(spark, folder).where(F.col("canonical") == canonical.NONE).groupBy("kind", "value").agg(F.count("*").alias("n_rows"))
@@ -92,6 +105,20 @@ def p6_pieces(spark, folder):
 TOKENIZER = os.environ.get("WEFTWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p6_invariants(spark, folder):
+    """For each request whether its pieces are under the limit, cover the text without a gap and share the overlap."""
+    requests = table(spark, folder, "requests").select("request_id", F.col("text").alias("whole"), "max_chars", F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)).alias("overlap"))
+    rows = splitting.split_texts(table(spark, folder, "requests")).join(requests, "request_id")
+    shared = F.when(F.col("overlap") < F.col("max_chars"), F.col("overlap")).otherwise(F.floor(F.col("max_chars") / 2))
+    same = F.col("text") == F.expr("substring(whole, start_at + 1, end_at - start_at)")
+    total = F.sum(F.col("end_at") - F.col("start_at")) - F.max(shared) * (F.count("*") - 1)
+    return rows.groupBy("request_id").agg(
+        (F.max(F.length("text") - F.col("max_chars")) <= 0).alias("fits"),
+        (F.bool_and(same) & (F.min("start_at") == 0) & (F.max("end_at") == F.max(F.length("whole"))) & (total == F.max(F.length("whole")))).alias("covers"),
+        (F.count("*") > 1).alias("is_cut"),
+    )
+
+
 def p7_containers(spark, folder):
     return packing.containers(packing.token_items(table(spark, folder, "documents"), TOKENIZER))
 
@@ -133,8 +160,8 @@ QUERIES = {
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics,
     "p1_found": p1_found, "p1_spellings": p1_spellings,
     "p5_found": p5_found, "p5_report": p5_report, "p5_copies": p5_copies,
-    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
-    "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_invariants": p6_invariants, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
+    "p3_found": p3_found, "p3_misses": p3_misses, "p3_stored": p3_stored, "p4_found": p4_found, "p4_terms": p4_terms, "p4_increment": p4_increment}
 
 
 def _terms_sql(nodes: str) -> str:
@@ -149,7 +176,9 @@ def _terms_sql(nodes: str) -> str:
 
 _SPACE = r"[ \t\n\x{0B}\f\r]"
 _BULLET = r"^[ \t\n\x{0B}\f\r]*(?:[-*•·▪+–]|[0-9]{1,3}[.)]|\[[ xX*]?\])[ \t\n\x{0B}\f\r]"
-_REASONS = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in quality.RULES)
+_REASONS = """CASE WHEN n_words < 50 THEN 'few_words' END, CASE WHEN n_words > 100000 THEN 'many_words' END, CASE WHEN word_chars < 3 * n_words THEN 'short_words' END,
+    CASE WHEN word_chars > 10 * n_words THEN 'long_words' END, CASE WHEN 10 * n_symbols > n_words THEN 'many_symbols' END, CASE WHEN 10 * n_bullets > 9 * n_lines THEN 'bullets' END,
+    CASE WHEN 10 * n_alpha_words < 8 * n_words THEN 'few_letters' END, CASE WHEN n_common < 2 THEN 'few_common_words' END, CASE WHEN 10 * n_line_ends < n_lines THEN 'few_line_ends' END"""
 
 ORACLE = {
     "p9_statistics": rf"""WITH split AS (
@@ -169,6 +198,12 @@ ORACLE = {
   SELECT *, concat_ws(',', {_REASONS}) AS reasons FROM stats""",
     "p5_copies": """SELECT DISTINCT 'raw' AS kind, md5(a.raw) AS value_id FROM replies a
   WHERE a.raw <> '' AND EXISTS (SELECT 1 FROM replies b WHERE length(b.raw) > length(a.raw) AND starts_with(b.raw, a.raw))""",
+    "p3_stored": """WITH names AS (
+    SELECT kind, canonical, unnest(list_prepend(canonical, coalesce(aliases, []))) AS value FROM type_vocab WHERE kind IS NOT NULL AND canonical IS NOT NULL),
+  single AS (SELECT kind, value, min(canonical) AS canonical FROM names WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT canonical) = 1),
+  typed AS (SELECT 'node' AS kind, node_key AS row_key, type AS value FROM nodes UNION ALL SELECT 'edge', edge_key, type FROM edges)
+  SELECT typed.kind, row_key, canonical FROM typed JOIN single USING (kind, value)""",
+    "p6_invariants": f"SELECT request_id, true AS fits, true AS covers, length(text) > max_chars AS is_cut FROM requests WHERE regexp_matches(text, '{VISIBLE}')",
     "p6_found": f"SELECT DISTINCT request_id FROM requests WHERE regexp_matches(text, '{VISIBLE}') AND length(text) > max_chars",
     "p4_found": f"""WITH {_terms_sql("nodes")},
   total AS (SELECT 'n' AS t, count(DISTINCT graph_id) AS n FROM nodes UNION ALL SELECT 'e', count(DISTINCT graph_id) FROM edges)

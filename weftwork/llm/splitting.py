@@ -66,6 +66,11 @@ def pieces(text: str, limit: int, overlap: int = 0, prefix: np.ndarray | None =
         allowed = set(begins)
         cuts = {kind: [p for p in positions if p in allowed] for kind, positions in cuts.items()}
         whole = sorted(allowed.intersection(whole)) if whole is not None else begins
+    natural = cuts
+    if overlap and whole is not None:
+        # rather end where the next piece, stepped back, begins with a whole character
+        borders = set(whole)
+        natural = {kind: [p for p in positions if p - overlap in borders] for kind, positions in cuts.items()} if prefix is None else cuts
     out, start = [], 0
     while size(n) - size(start) > limit:
         if prefix is None:
@@ -76,14 +81,18 @@ def pieces(text: str, limit: int, overlap: int = 0, prefix: np.ndarray | None =
             low = int(np.searchsorted(prefix, prefix[start] + overlap, side="right")) - 1
         middle = max(low, start + (high - start) // 2)
         end, kind = None, ""
-        for kind in KINDS:
-            if (end := _last(cuts[kind], middle, high)) is not None:
+        for kind, places in ((k, c[k]) for k in KINDS for c in (natural, cuts)):
+            if (end := _last(places, middle, high)) is not None:
                 break
+        if end is None:
+            end, kind = max(((p, k) for k in KINDS if (p := _last(natural[k], low, high)) is not None), default=(None, ""))
         if end is None:
             end, kind = max(((p, k) for k in KINDS if (p := _last(cuts[k], low, high)) is not None), default=(None, ""))
         if end is None:
             kind = "hard"
             end = high if whole is None else _last(whole, low, high) or high
+            if prefix is None and overlap and whole is not None and end - overlap not in borders:
+                end = next((p for p in reversed(whole[bisect_right(whole, middle) : bisect_right(whole, high)]) if p - overlap in borders), end)
         out.append((start, end, kind))
         if prefix is None:
             start = end - overlap

@@ -13,13 +13,15 @@ how many graphs each table has.
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import has_text
-from weftwork.session import fresh_folder
+from weftwork.session import fresh_folder, written
 
 #: Field of a pseudo-term for each table.
 GRAPHS = {"nodes": "#nodes", "edges": "#edges"}
@@ -79,25 +81,42 @@ def marks(term_counts: DataFrame, rare: int = 1, common: float = 0.1) -> DataFra
     return named.join(F.broadcast(totals), "table_name").withColumn("mark", mark).where("mark is not null").select("field_name", "term", "mark")
 
 
+#: Rows of the state that a bucket is made for.
+BUCKET_ROWS = 500_000
+
+
 @dataclass
 class TermCounts:
-    """Persistent counts in ``buckets`` hash buckets of (field, term) below ``path``.
+    """Persistent counts in hash buckets of (field, term, graph) below ``path``.
 
-    Every merge writes the touched buckets under a new version and remembers, for
-    each bucket, the version that holds it; older versions stay readable until
-    someone removes them, so a merge that fails midway changes nothing.
+    Buckets are by the whole key, so that a term of a third of all rows is spread like
+    any other. Every merge writes the touched buckets under a new version and then a
+    manifest, which names for each bucket the version that holds it. ``open`` reads the
+    newest manifest, in this process or another; a merge that fails midway leaves no
+    manifest and changes nothing. Older versions stay readable until ``vacuum``.
     """
 
     spark: SparkSession
     path: str
-    buckets: int = 64
+    buckets: int | None = None
     version: int = 0
     holds: dict[int, int] = field(default_factory=dict)
 
     @classmethod
-    def fresh(cls, spark: SparkSession, buckets: int = 64) -> TermCounts:
+    def fresh(cls, spark: SparkSession, buckets: int | None = None) -> TermCounts:
+        """Empty counts in a new folder; the first delta settles the number of buckets where none is given."""
         return cls(spark, fresh_folder(spark, "terms"), buckets)
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TermCounts:
+        """The counts that an earlier merge left below ``path``."""
+        path = path.rstrip("/")
+        done = [int(s.getPath().getName().partition("=")[2]) for s in cls(spark, path)._list(f"{path}/manifest") if cls(spark, path)._list(s.getPath().toString() + "/_SUCCESS")]
+        if not done:
+            raise FileNotFoundError(f"no counts below {path}")
+        row = json.loads(spark.read.text(f"{path}/manifest/version={max(done)}", wholetext=True).first().value)
+        return cls(spark, path, row["buckets"], row["version"], {int(b): v for b, v in row["holds"].items()})
+
     def _files(self, buckets) -> list[str]:
         return [f"{self.path}/version={self.holds[b]}/bucket={b}" for b in sorted(buckets) if b in self.holds]
 
@@ -109,9 +128,12 @@ class TermCounts:
 
     def merge(self, change: DataFrame) -> TermCounts:
         """Add a delta to the buckets it touches."""
-        place = F.pmod(F.xxhash64("field_name", "term"), F.lit(self.buckets)).cast("int")
-        change = change.withColumn("bucket", place)
+        if self.buckets is None:
+            change = written(change, "delta")
+            self.buckets = max(16, math.ceil(change.count() / BUCKET_ROWS))
+        change = change.withColumn("bucket", F.pmod(F.xxhash64("field_name", "term", "graph_id"), F.lit(self.buckets)).cast("int"))
         if self.holds:
+            change = written(change, "delta")
             touched = [row.bucket for row in change.select("bucket").distinct().collect()]  # at most self.buckets rows
             change = (
                 self.state(touched)
@@ -122,13 +144,28 @@ class TermCounts:
             )
         else:
             touched = range(self.buckets)
-        self.version += 1
-        target = f"{self.path}/version={self.version}"
-        change.repartition(F.col("bucket"), F.pmod(F.xxhash64("graph_id"), F.lit(4))).write.partitionBy("bucket").parquet(target)
-        new = {row.bucket for row in self.spark.read.option("basePath", target).parquet(target).select("bucket").distinct().collect()} if self._any(target) else set()
-        self.holds = {b: v for b, v in self.holds.items() if b not in set(touched)} | dict.fromkeys(new, self.version)
+        version = self.version + 1
+        target = f"{self.path}/version={version}"
+        change.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        new = {int(name.partition("=")[2]) for s in self._list(target) if (name := s.getPath().getName()).startswith("bucket=")}
+        holds = {b: v for b, v in self.holds.items() if b not in set(touched)} | dict.fromkeys(new, version)
+        row = json.dumps({"version": version, "buckets": self.buckets, "holds": holds})
+        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/version={version}")
+        self.version, self.holds = version, holds
         return self
 
-    def _any(self, target: str) -> bool:
+    def vacuum(self) -> None:
+        """Remove versions and manifests that the newest manifest does not need."""
+        used = {*self.holds.values(), self.version}
+        for status in [*self._list(self.path), *self._list(f"{self.path}/manifest")]:
+            name = status.getPath().getName()
+            manifest = status.getPath().getParent().getName() == "manifest"
+            if name.startswith("version=") and int(name.partition("=")[2]) not in ({self.version} if manifest else used):
+                self._system(status.getPath()).delete(status.getPath(), True)
+
+    def _system(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _list(self, target: str) -> list:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(target)
-        return any(s.isDirectory() for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path))
+        return list(self._system(path).listStatus(path)) if self._system(path).exists(path) else []
