@@ -30,6 +30,22 @@ def test_prompt_layout(spark, spec, between, after):
     assert "ENTITY TYPES: " + ", ".join(ENTITY_TYPES) in text
 
 
+@pytest.mark.parametrize(
+    "phrase",
+    ["TEXT:\nT", "ENTITY TYPES: person", "RELATIONSHIP TYPES: works_for", "Output ONLY valid JSON", '"nodes":', '"edges":', '"id": "node_1"', '"source": "node_1"',
+     "no markdown code blocks", "Deduplicate entities", "sequential IDs", "lowercase_with_underscores", "OUTPUT LIMITS:", "- max nodes: 12", "- max edges: 18",
+     "Return at most 12 nodes", "Return at most 18 edges", "keep only the most salient entities and relationships", "ADDITIONAL INSTRUCTIONS:\nFocus."],
+)
+def test_prompt_phrases(spark, phrase):
+    assert phrase in prompt(spark, SchemaSpec(instructions="Focus.", max_nodes=12, max_edges=18))
+
+
+def test_prompt_without_instructions(spark):
+    assert "ADDITIONAL INSTRUCTIONS" not in prompt(spark, SchemaSpec()) and "OUTPUT LIMITS" not in prompt(spark, SchemaSpec())
+    assert "ENTITY TYPES: person, company, product" in prompt(spark, SchemaSpec(("person", "company", "product")))
+    assert "RELATIONSHIP TYPES: works_for, owns" in prompt(spark, SchemaSpec(None, ("works_for", "owns")))
+
+
 def test_empty_lists_stay_empty_and_text_is_raw(spark):
     text = prompt(spark, SchemaSpec((), ()), text='  "x"\n{y} ')
     assert "ENTITY TYPES: \n\nRELATIONSHIP TYPES: \n" in text and 'TEXT:\n  "x"\n{y} \n\nENTITY' in text

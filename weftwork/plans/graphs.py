@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftwork.model import ENTITY_TYPES, RELATION_TYPES, SchemaSpec
+from weftwork.model import SchemaSpec
 from weftwork.operators import canvas as cv
 from weftwork.operators import validate as va
 from weftwork.operators.extract import extract, input_status, masked, replay, response_content
 from weftwork.operators.parse import parse_replies
-from weftwork.operators.prompt import _FORMAT, _RULES, prompt_column, prompts, schema_column
+from weftwork.operators.prompt import prompt_column, prompts, schema_column
 from weftwork.session import fresh_folder
 from weftwork.sources.providers import RuleProvider
 from weftwork.sources.tables import table
@@ -296,23 +296,48 @@ def _quoted(text):
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The prompt's end as it must be, written out here so that the SQL shares nothing with the operator.
+_ASKED = """
+
+OUTPUT FORMAT:
+Return ONLY valid JSON with this exact structure:
+{
+  "nodes": [
+    {"id": "node_1", "label": "Entity Name", "type": "entity_type"}
+  ],
+  "edges": [
+    {"id": "edge_1", "source": "node_1", "target": "node_2", "type": "relation_type", "label": "human readable"}
+  ]
+}
+
+RULES:
+1. Output ONLY valid JSON: one object, no markdown code blocks, nothing in front of it or behind it
+2. Within nodes and within edges no ID may occur twice; use sequential IDs as in the structure above
+3. An edge counts only if both its ends are IDs of nodes in the same answer
+4. Deduplicate entities: short forms and other spellings of a name belong to the node that is there already
+5. Take relation types from the list above where one fits, else make one up, in lowercase_with_underscores
+6. Take labels from the text, in its own language, and state nothing that the text does not say
+7. If the text names no entity at all, return both lists empty
+"""
+
+
 def _prompt_sql(entity, relation, told, nodes, edges):
     """SQL text of a prompt, from SQL expressions of the schema's parts."""
-    rules = "\n".join(f"{k}. {rule}" for k, rule in enumerate(_RULES, 1))
     n, e = f"coalesce({nodes}, 0) <> 0", f"coalesce({edges}, 0) <> 0"
-    return f"""md5(concat({_quoted("Extract all entities and relationships from the following text as a JSON knowledge graph." + chr(10) * 2 + "TEXT:" + chr(10))}, text,
+    return f"""md5(concat('Extract all entities and relationships from the following text as a JSON knowledge graph.', chr(10), chr(10), 'TEXT:', chr(10), text,
       chr(10), chr(10), 'ENTITY TYPES: ', {entity}, chr(10), chr(10), 'RELATIONSHIP TYPES: ', {relation}, chr(10),
       CASE WHEN coalesce({told}, '') <> '' THEN concat(chr(10), 'ADDITIONAL INSTRUCTIONS:', chr(10), {told}) ELSE '' END, chr(10),
       CASE WHEN {n} OR {e} THEN concat(chr(10), 'OUTPUT LIMITS:', chr(10), CASE WHEN {n} THEN concat('- max nodes: ', {nodes}) ELSE '' END,
         CASE WHEN {n} AND {e} THEN chr(10) ELSE '' END, CASE WHEN {e} THEN concat('- max edges: ', {edges}) ELSE '' END) ELSE '' END,
-      {_quoted(chr(10) * 2 + "OUTPUT FORMAT:" + chr(10) + "Return ONLY valid JSON with this exact structure:" + chr(10) + _FORMAT + chr(10) * 2 + "RULES:" + chr(10) + rules + chr(10))},
+      {_quoted(_ASKED)},
       CASE WHEN {n} THEN concat('8. Return at most ', {nodes}, ' nodes') ELSE '' END, chr(10),
       CASE WHEN {e} THEN concat(chr(10), CASE WHEN {n} THEN '9' ELSE '8' END, '. Return at most ', {edges}, ' edges') ELSE '' END, chr(10),
-      CASE WHEN {n} OR {e} THEN concat(chr(10), CASE WHEN {n} AND {e} THEN '10' ELSE '9' END, '. If limits are reached, keep the most salient entities and relationships') ELSE '' END,
+      CASE WHEN {n} OR {e} THEN concat(chr(10), CASE WHEN {n} AND {e} THEN '10' ELSE '9' END, '. If limits are reached, keep only the most salient entities and relationships') ELSE '' END,
       chr(10), chr(10), 'JSON:'))"""
 
 
-_E, _R = _quoted(", ".join(ENTITY_TYPES)), _quoted(", ".join(RELATION_TYPES))
+_E = "'person, organization, location, date, product, event, concept, other'"
+_R = "'works_for, founded, acquired, located_in, born_in, died_in, married_to, subsidiary_of, created, member_of, produced_by, part_of, owns, related_to'"
 
 
 def _case(key, values, cast=""):
@@ -375,7 +400,8 @@ def _lines(text, room):
     return f"list_reduce(list_prepend({{'l': 1, 'c': 0}}, {cells}), lambda s, x: {step}).l"
 
 
-_COLOR = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cv.NODE_COLORS.items()) + f" ELSE '{cv.NODE_COLORS['other']}' END"
+_COLOR = """CASE type WHEN 'person' THEN '#dc2626' WHEN 'organization' THEN '#0f766e' WHEN 'location' THEN '#0891b2' WHEN 'date' THEN '#ca8a04'
+    WHEN 'product' THEN '#7c3aed' WHEN 'event' THEN '#2563eb' WHEN 'concept' THEN '#15803d' ELSE '#475569' END"""
 _RETRY = f"""
   a AS (SELECT DISTINCT graph_id, attempt FROM replies WHERE graph_id IS NOT NULL),
   b AS (SELECT graph_id, attempt, (graph_id * 3 + attempt * (graph_id % 4)) % 5 AS kind, row_number() OVER (PARTITION BY graph_id ORDER BY attempt) AS nth FROM a),
