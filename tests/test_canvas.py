@@ -1,3 +1,5 @@
+import json
+
 import random
 
 import pytest
@@ -68,7 +70,7 @@ def test_packing(spark):
     boxes = spark.createDataFrame([(1, f"c{k}", f"c{k}", 220, 144) for k in range(6)], "graph_id bigint, component string, anchor string, width int, height int")
     got = {r.component: (r.left, r.top) for r in cv.packed(boxes).collect()}
     assert [got[f"c{k}"] for k in range(6)] == [(120, 120), (580, 120), (1040, 120), (120, 504), (580, 504), (1040, 504)]
-    assert cv.target_width(0) == 1400
+    assert cv.packed(boxes.limit(0)).count() == 0
 
 
 def overlap(a, b):
@@ -140,3 +142,35 @@ def test_edges_decide_in_large_components(spark):
     assert sum(at[a].x + at[a].width > at[b].x for a, b in edges) == 1
     across = sorted(pairs, key=lambda p: at[p[0]].y)
     assert across == sorted(pairs, key=lambda p: at[p[1]].y)
+
+
+def test_layout_options_are_read():
+    from weftwork.operators.layout import layered, walked
+
+    order = list("abcdefg")
+    nodes = [(v, 220, 110 + 10 * k) for k, v in enumerate(order)]
+    edges = [("a", "b"), ("a", "c"), ("a", "d"), ("b", "e"), ("c", "e"), ("e", "a"), ("f", "e"), ("g", "d"), ("f", "g")]
+    seen = {}
+    for align in ("UL", "UR", "DL", "DR", ""):
+        corners, width, height = layered(nodes, edges, CanvasOptions(align=align))
+        seen[align] = tuple(sorted(corners.items()))
+        assert min(x for x, _ in corners.values()) >= 0 and min(y for _, y in corners.values()) >= 0
+        assert all(x + 220 <= width for x, _ in corners.values()) and height >= 170
+    assert len(set(seen.values())) > 1
+    long = layered(nodes, [("a", "b"), ("b", "e"), ("f", "e")], CanvasOptions(ranker="longest-path"))[0]
+    tight = layered(nodes, [("a", "b"), ("b", "e"), ("f", "e")], CanvasOptions())[0]
+    assert long["f"][0] == long["a"][0] and tight["f"][0] == tight["b"][0]
+    turned = walked(order, edges)
+    assert ("a", "e") in turned and ("e", "a") not in turned
+    assert layered(nodes, edges, CanvasOptions(acyclicer="dfs"))[0]
+
+
+def test_documents_hold_everything(spark):
+    nodes = spark.createDataFrame([(1, k, k, f"n{k}", None, None) for k in range(120)], "graph_id bigint, node_key bigint, pos int, id string, label string, type string")
+    edges = spark.createDataFrame(
+        [(1, k, k, f"e{k}", f"n{k}", f"n{k + 1}", None, None) for k in range(119)],
+        "graph_id bigint, edge_key bigint, pos int, id string, source string, target string, type string, label string",
+    )
+    parts = [json.loads(r.document) for r in cv.documents(*cv.canvas(nodes, edges), part_items=50).collect()]
+    assert len(parts) == 3
+    assert {i["id"] for p in parts for i in p["nodes"]} == {f"n{k}" for k in range(120)} and sum(len(p["edges"]) for p in parts) == 119

@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.model import ENTITY_TYPES, ExtractorConfig, ProviderConfig, ProviderError, SchemaSpec
+from weftwork.model import ENTITY_TYPES, ExtractorConfig, ProviderConfig, ProviderError, SchemaSpec, effective_schema
 from weftwork.operators.extract import annotated, extract, input_status, masked, replay, response_content
-from weftwork.operators.prompt import effective_schema, override_limits, prompt_column, response_format, schema_column
+from weftwork.operators.prompt import prompt_column, response_format, schema_column
 from weftwork.sources.providers import Reply, RuleProvider, api_key, base_url, call, http_provider, mask_secrets, positive_int, reply_content, resolve_provider, stop_sequences
 
 
@@ -52,11 +52,11 @@ def test_empty_lists_stay_empty_and_text_is_raw(spark):
     assert prompt(spark, SchemaSpec(), None) is None
 
 
-def test_schema_precedence(spark):
-    call_schema, config = schema_column(SchemaSpec(("x",))), schema_column(SchemaSpec(max_nodes=3))
-    row = spark.range(1).select(effective_schema(call_schema, config).alias("s"), override_limits(config, F.lit(None), F.lit(4)).alias("o")).first()
-    assert row.s.max_nodes is None and row.s.entity_types == ["x"]
-    assert (row.o.max_nodes, row.o.max_edges) == (3, 4)
+def test_schema_precedence():
+    configured = SchemaSpec(max_nodes=3)
+    assert effective_schema(SchemaSpec(("x",)), configured) == SchemaSpec(("x",)).resolved()
+    assert effective_schema(None, configured).max_nodes == 3 and effective_schema(None, None).entity_types == ENTITY_TYPES
+    assert configured.limited(None, 4) == SchemaSpec(max_nodes=3, max_edges=4) and configured.limited(5).max_nodes == 5
 
 
 def test_response_format():

@@ -70,3 +70,17 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: tuple(map(str, r))
     batch = flat_result(extract(docs, RuleProvider))
     assert sorted(spark.read.parquet(str(tmp_path / "out")).drop("batch").collect(), key=key) == sorted(batch.collect(), key=key)
+
+
+def test_cli_canvas_writes_every_item(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    n = 5200
+    graph = {"nodes": [{"id": f"n{k}"} for k in range(n)], "edges": [{"id": f"e{k}", "source": f"n{2 * k}", "target": f"n{2 * k + 1}"} for k in range(n // 2)]}
+    (tmp_path / "g.json").write_text(json.dumps(graph))
+    assert cli.main(["canvas", str(tmp_path / "g.json"), "-o", str(tmp_path / "c.json")]) == 0
+    document = json.loads((tmp_path / "c.json").read_text())
+    assert [x["id"] for x in document["nodes"]] == [x["id"] for x in graph["nodes"]]
+    assert [x["id"] for x in document["edges"]] == [x["id"] for x in graph["edges"]]
+    (tmp_path / "e.json").write_text("{}")
+    assert cli.main(["canvas", str(tmp_path / "e.json"), "-o", str(tmp_path / "c.json")]) == 0
+    assert json.loads((tmp_path / "c.json").read_text()) == {"nodes": [], "edges": []}

@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -106,8 +105,10 @@ def run_canvas(args: dict) -> int:
 
     nodes = rows("nodes", ("id", "label", "type"), "node_key")
     edges = rows("edges", ("id", "source", "target", "type", "label"), "edge_key")
-    found = cv.documents(*cv.canvas(nodes, edges, CanvasOptions())).first()
-    document = json.loads(found.document) if found else {"nodes": [], "edges": []}
+    document = {
+        name: [json.loads(r.item) for r in shown.orderBy("pos", "id").select(F.to_json("item").alias("item")).toLocalIterator()]
+        for name, shown in zip(("nodes", "edges"), map(cv.items, cv.canvas(nodes, edges, CanvasOptions()), ("nodes", "edges")), strict=True)
+    }
     _write(dump(document, args["pretty"]), args.get("output"))
     return OK
 
@@ -133,7 +134,7 @@ def run_extract(args: dict) -> int:
     except ValueError as error:
         _say(str(error))
         return CONFIG
-    spec = replace(spec, **{k: v for k, v in limits.items() if v is not None})
+    spec = spec.limited(**limits)
     try:
         provider = resolve_provider(args)
     except ValueError as error:

@@ -30,11 +30,6 @@ def js_words(c: Column) -> Column:
     return F.filter(F.split(c, f"[{JS_SPACE}]+"), lambda w: w != "")
 
 
-def is_blank(c: Column) -> Column:
-    """True for a non-null string without any visible character; null stays null."""
-    return ~c.rlike(f"[^{BLANK}]")
-
-
 def has_text(c: Column) -> Column:
     """False for null and for blank."""
     return F.coalesce(c.rlike(f"[^{BLANK}]"), F.lit(False))
@@ -45,11 +40,6 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-def js_round(c: Column) -> Column:
-    """Round half up, also below zero."""
-    return F.floor(c + F.lit(0.5))
-
-
 def humanize(c: Column) -> Column:
     """A relation type as words."""
     return F.replace(c, F.lit("_"), F.lit(" "))

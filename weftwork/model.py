@@ -62,6 +62,10 @@ class SchemaSpec:
             relation_types=RELATION_TYPES if self.relation_types is None else tuple(self.relation_types),
         )
 
+    def limited(self, max_nodes: int | None = None, max_edges: int | None = None) -> SchemaSpec:
+        """With limits given elsewhere, such as on the command line, in front of its own, each for itself."""
+        return replace(self, max_nodes=self.max_nodes if max_nodes is None else max_nodes, max_edges=self.max_edges if max_edges is None else max_edges)
+
     @classmethod
     def from_json(cls, data: dict) -> SchemaSpec:
         """From a schema file's object: fields of the wrong type are left out, list items are not checked."""
@@ -96,13 +100,25 @@ class ExtractorConfig:
     max_retries: int | None = None
 
 
+def effective_schema(call: SchemaSpec | None, configured: SchemaSpec | None) -> SchemaSpec:
+    """A schema of the call replaces the configured one as a whole; without either the defaults hold."""
+    return (call or configured or SchemaSpec()).resolved()
+
+
 #: Defaults of a call.
 TEMPERATURE, MAX_TOKENS, MAX_RETRIES, TIMEOUT_S = 0.3, 2048, 2, 120
 
 
 @dataclass(frozen=True)
 class CanvasOptions:
-    """Knobs of the canvas export; sizes in pixels."""
+    """Knobs of the canvas export; sizes in pixels.
+
+    ``align`` names the side whose neighbours a layer is lined up with (U the one
+    before, D the one behind) and which of two middle neighbours counts (L, R), '' for
+    the middle of both. ``ranker`` ``longest-path`` leaves out the tightening of ranks;
+    ``acyclicer`` ``greedy`` reverses few edges, anything else those that close a cycle
+    in a depth-first walk.
+    """
 
     padding: int = 120
     component_gap: int = 240

@@ -9,7 +9,6 @@ streams over a graph's components in order and holds only the cursor.
 
 from __future__ import annotations
 
-import math
 from itertools import groupby
 
 import pandas as pd
@@ -232,29 +231,34 @@ def canvas(nodes: DataFrame, edges: DataFrame, options: CanvasOptions = CanvasOp
     )
 
 
+#: Fields of a document's items, with their columns.
+FIELDS = {
+    "nodes": {"id": "id", "type": None, "x": "x", "y": "y", "width": "width", "height": "height", "text": "text", "color": "color"},
+    "edges": {"id": "id", "fromNode": "from_node", "fromSide": "from_side", "toNode": "to_node", "toSide": "to_side", "label": "label", "color": "color"},
+}
+
+
+def items(rows: DataFrame, name: str) -> DataFrame:
+    """``graph_id, pos, id, item``: each row of a canvas as an item of a document; ``name`` is ``nodes`` or ``edges``."""
+    return rows.select("graph_id", "pos", "id", F.struct(*((F.col(c) if c else F.lit("text")).alias(f) for f, c in FIELDS[name].items())).alias("item"))
+
+
 def documents(nodes: DataFrame, edges: DataFrame, part_items: int = 5000) -> DataFrame:
     """``graph_id, part, n_parts, document``: canvas JSON of each graph.
 
     A graph of more than ``part_items`` nodes or edges comes in several documents,
-    each with a share of the nodes and edges, so that no group grows without bound.
+    each with a share of the nodes and edges, so that no group grows without bound;
+    together the parts hold every item.
     """
     counts = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).unionByName(edges.groupBy("graph_id").agg(F.count("*").alias("n")))
     parts = counts.groupBy("graph_id").agg(F.ceil(F.max("n") / part_items).cast("int").alias("n_parts"))
 
-    def arrays(rows, fields, name):
-        shown = F.struct(*(value.alias(n) for n, value in fields.items()))
-        rows = rows.join(parts, "graph_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_parts")).cast("int"))
-        return rows.groupBy("graph_id", "n_parts", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", shown.alias("v")))), lambda r: r["v"]).alias(name))
+    def arrays(rows, name):
+        rows = items(rows, name).join(parts, "graph_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_parts")).cast("int"))
+        return rows.groupBy("graph_id", "n_parts", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "item"))), lambda r: r["item"]).alias(name))
 
-    n = arrays(nodes, {"id": F.col("id"), "type": F.lit("text")} | {c: F.col(c) for c in ("x", "y", "width", "height", "text", "color")}, "nodes")
-    names = {"id": "id", "fromNode": "from_node", "fromSide": "from_side", "toNode": "to_node", "toSide": "to_side", "label": "label", "color": "color"}
-    e = arrays(edges, {k: F.col(v) for k, v in names.items()}, "edges")
+    n, e = arrays(nodes, "nodes"), arrays(edges, "edges")
     both = n.join(e, ["graph_id", "n_parts", "part"], "full")
     empty = F.array()
     shown = F.struct(F.coalesce("nodes", empty.cast(n.schema["nodes"].dataType)).alias("nodes"), F.coalesce("edges", empty.cast(e.schema["edges"].dataType)).alias("edges"))
     return both.select("graph_id", "part", "n_parts", F.to_json(shown).alias("document"))
-
-
-def target_width(total: int, options: CanvasOptions = CanvasOptions()) -> int:
-    """Row width of the shelves for a total area, in plain Python."""
-    return max(1400, math.ceil(math.sqrt(total or 1) * 1.4) + 2 * options.padding)

@@ -3,7 +3,7 @@
 Every vertex takes the smallest label among its neighbours, then the label of its
 label (pointer jumping), until nothing changes; labels only fall, and long paths
 halve each round. Neighbour labels are aggregated with partial minima, so a hub is
-never collected. Each round is checkpointed into the shared folder.
+never collected. Each round is written into the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.session import cut_lineage
+from weftwork.session import written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -21,8 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     no rows. Labels compare as Spark compares the type of the ends.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null")
-    both = cut_lineage(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut_lineage(both.groupBy("src").agg(F.min("dst").alias("n")).select(F.col("src").alias("vertex"), F.least("src", "n").alias("component")))
+    both = written(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    labels = written(both.groupBy("src").agg(F.min("dst").alias("n")).select(F.col("src").alias("vertex"), F.least("src", "n").alias("component")), "labels")
     for _ in range(max_rounds):
         near = (
             both.join(labels.select(F.col("vertex").alias("dst"), F.col("component").alias("theirs")), "dst")
@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             .agg(F.min("theirs").alias("theirs"))
         )
         hooked = labels.join(near, "vertex").select("vertex", F.col("component").alias("old"), F.least("component", "theirs").alias("component"))
-        roots = labels.select(F.col("vertex").alias("component"), F.col("component").alias("root"))
-        hooked = cut_lineage(hooked.join(roots, "component").select("vertex", "old", F.least("component", "root").alias("component")))
-        changed = hooked.where("old <> component").limit(1).count()
+        # a label that is its own root needs no lookup, so the vertices of a giant component meet no hot key
+        roots = labels.where("vertex <> component").select(F.col("vertex").alias("component"), F.col("component").alias("root"))
+        hooked = written(hooked.join(roots, "component", "left").select("vertex", "old", F.least("component", "root").alias("component")), "labels")
         labels = hooked.select("vertex", "component")
-        if not changed:
+        if hooked.where("old <> component").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

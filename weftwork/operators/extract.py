@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +42,8 @@ def annotated(message: Column, finish_reason: Column) -> Column:
     return F.concat(message, F.when(F.coalesce(finish_reason != "", F.lit(False)), F.concat(F.lit(" (finish_reason: "), finish_reason, F.lit(")"))).otherwise(""))
 
 
-def call_provider(documents: DataFrame, make: Callable[[], Provider], spec: SchemaSpec, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """Replies for ``doc_id, text``; one provider a task, made where it runs.
+def call_provider(documents: DataFrame, make: Callable[[], Provider], spec: SchemaSpec, max_retries: int = MAX_RETRIES, in_flight: int = 1) -> DataFrame:
+    """Replies for ``doc_id, text``; one provider a task, made where it runs, with ``in_flight`` calls at a time.
 
     Blank texts are filtered before, since nothing pushes a filter through Python.
     """
@@ -49,30 +51,36 @@ def call_provider(documents: DataFrame, make: Callable[[], Provider], spec: Sche
 
     def ask(batches):
         provider = make()
-        for batch in batches:
-            out = [(d, o.status, o.error, o.raw, o.finish_reason, o.attempts, o.prompt_tokens, o.completion_tokens)
-                   for d, p in zip(batch["doc_id"], batch["prompt"], strict=True) for o in [call(provider, d, p, max_retries)]]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _CALLED.split(", ")]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+        with ThreadPoolExecutor(in_flight) if in_flight > 1 else nullcontext() as pool:
+            for batch in batches:
+                keys, texts = batch["doc_id"].tolist(), batch["prompt"].tolist()
+                outcomes = (pool.map if pool else map)(lambda d, p: call(provider, d, p, max_retries), keys, texts)
+                out = [(d, o.status, o.error, o.raw, o.finish_reason, o.attempts, o.prompt_tokens, o.completion_tokens) for d, o in zip(keys, outcomes, strict=True)]
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _CALLED.split(", ")]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
     return asked.mapInPandas(ask, _CALLED)
 
 
-def extract(documents: DataFrame, make: Callable[[], Provider], spec: SchemaSpec | None = None, max_retries: int = MAX_RETRIES, keep: bool = True) -> DataFrame:
+def extract(
+    documents: DataFrame, make: Callable[[], Provider], spec: SchemaSpec | None = None, max_retries: int = MAX_RETRIES, keep: bool = True, in_flight: int = 1
+) -> DataFrame:
     """One row a document: ``doc_id, status, error, raw, attempts, prompt_tokens, completion_tokens, validation``.
 
     Status is ``ok``, ``input_error``, ``parse_error`` or ``provider_error``; nothing
-    raises. With ``keep`` the replies are written before anything reads them, since
+    raises. Whether a reply holds a graph is for the parser to say: where the call loop
+    took a reply that the parser refuses, the row is a ``parse_error``. With ``keep`` the replies are written before anything reads them, since
     asking again costs and may answer otherwise; a lost task still asks again, so
     calls happen at least once.
     """
-    called = call_provider(documents, make, (spec or SchemaSpec()).resolved(), max_retries)
+    called = call_provider(documents, make, (spec or SchemaSpec()).resolved(), max_retries, in_flight)
     if keep and not documents.isStreaming:
         called = written(called, "replies")
     parsed = parse_replies(called.withColumnsRenamed({"status": "said", "error": "problem"}))
+    refused = (F.col("said") == "ok") & (F.col("status") != "ok")
     told = parsed.select(
         "doc_id",
-        F.col("said").alias("status"),
-        F.col("problem").alias("error"),
+        F.when(refused, F.col("status")).otherwise(F.col("said")).alias("status"),
+        F.when(refused, annotated(F.col("error"), F.col("finish_reason"))).otherwise(F.col("problem")).alias("error"),
         "raw",
         "attempts",
         "prompt_tokens",

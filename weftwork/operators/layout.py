@@ -41,7 +41,33 @@ def acyclic(order: list[str], edges: list[tuple[str, str]]) -> list[tuple[str, s
     return list(dict.fromkeys((a, b) if place[a] < place[b] else (b, a) for a, b in edges))
 
 
-def ranks(order: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
+def walked(order: list[str], edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The edges with those reversed that lead back to a node that a depth-first walk has not left."""
+    out = defaultdict(list)
+    for a, b in edges:
+        out[a].append(b)
+    state: dict[str, int] = {}  # 1 entered, 2 left
+    back = set()
+    for start in order:
+        if start in state:
+            continue
+        state[start], trail = 1, [(start, iter(out[start]))]
+        while trail:
+            v, rest = trail[-1]
+            for w in rest:
+                if state.get(w) == 1:
+                    back.add((v, w))
+                elif w not in state:
+                    state[w] = 1
+                    trail.append((w, iter(out[w])))
+                    break
+            else:
+                state[v] = 2
+                trail.pop()
+    return list(dict.fromkeys((b, a) if (a, b) in back else (a, b) for a, b in edges))
+
+
+def ranks(order: list[str], edges: list[tuple[str, str]], tighten: bool = True) -> dict[str, int]:
     """Ranks with every edge going at least one rank on, from 0."""
     after, before = defaultdict(list), defaultdict(list)
     for a, b in edges:
@@ -58,7 +84,7 @@ def ranks(order: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
             waiting[w] -= 1
             if not waiting[w]:
                 ready.append(w)
-    for _ in range(10):
+    for _ in range(10 if tighten else 0):
         moved = False
         for v in reversed(topological):
             pull = len(after[v]) - len(before[v])
@@ -119,8 +145,8 @@ def layered(nodes: list[tuple[str, int, int]], edges: list[tuple[str, str]], opt
     across = options.rankdir in ("LR", "RL")
     depth = {i: (w if across else h) for i, w, h in nodes}
     span = {i: (h if across else w) for i, w, h in nodes}
-    edges = acyclic(order, [(a, b) for a, b in dict.fromkeys(edges) if a != b])
-    rank = ranks(order, edges)
+    edges = (acyclic if options.acyclicer == "greedy" else walked)(order, [(a, b) for a, b in dict.fromkeys(edges) if a != b])
+    rank = ranks(order, edges, options.ranker != "longest-path")
     layers: list[list] = [[] for _ in range(max(rank.values()) + 1)]
     for v in order:
         layers[rank[v]].append(v)
@@ -159,13 +185,18 @@ def layered(nodes: list[tuple[str, int, int]], edges: list[tuple[str, str]], opt
         for i, v in enumerate(layer):
             at += gaps[r][i - 1] if i else span[v] / 2
             middle[v] = at
-    for sweep in range(6):
-        for r in range(len(layers)) if sweep % 2 == 0 else range(len(layers) - 1, -1, -1):
-            links = up if sweep % 2 == 0 else down
+    side = options.align[1:2].upper()
+    forward = [k % 2 == 0 for k in range(6)] if options.align[:1].upper() == "D" else [k % 2 == 1 for k in range(6)]  # the last sweep decides
+    for onwards in forward:
+        for r in range(len(layers)) if onwards else range(len(layers) - 1, -1, -1):
+            links = up if onwards else down
 
             def goal(v, links=links):
                 near = sorted(middle[w] for w in links.get(v, ()))
-                return (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2 if near else middle[v]
+                if not near:
+                    return middle[v]
+                low, high = near[(len(near) - 1) // 2], near[len(near) // 2]
+                return {"L": low, "R": high}.get(side, (low + high) / 2)
 
             middle.update(zip(layers[r], _spread([goal(v) for v in layers[r]], gaps[r]), strict=True))
     low = min(middle[v] - span[v] / 2 for v in middle)

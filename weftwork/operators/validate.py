@@ -6,7 +6,7 @@ edge, source before target before removal. Ids are unique within a graph only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.variants import field, is_string, items, js_string
@@ -98,29 +98,34 @@ def validate_graphs(df: DataFrame, graph: str = "graph") -> DataFrame:
     return df.withColumn("validation", validate_column(F.col(graph)))
 
 
-def _ranked(rows: DataFrame, key: str) -> DataFrame:
-    """With ``nth``: which occurrence of its id within the graph a row is, by position, ties by key.
+def _repeats(rows: DataFrame, key: str) -> DataFrame:
+    """With ``repeat``: null without an id, else whether an earlier row of the graph has the id, by position, ties by key.
 
-    The window is by (graph, id), so that no window holds a whole graph.
+    The first row of an id comes from an aggregate with partial minima; the rows are
+    joined to it and never gather in a window, however often an id occurs.
     """
-    w = Window.partitionBy("graph_id", "id").orderBy("pos", key)
-    return rows.withColumn("nth", F.when(_named(F.col("id")), F.row_number().over(w)))
+    place = F.struct(F.col("pos"), F.col(key))
+    named = rows.where(_named(F.col("id")))
+    first = named.groupBy(F.col("graph_id").alias("__g"), F.col("id").alias("__id")).agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    on = rows["graph_id"].eqNullSafe(first["__g"]) & (rows["id"] == first["__id"])
+    repeat = F.when(_named(F.col("id")), F.coalesce(place > F.col("__first"), F.lit(False)))
+    return rows.join(first, on, "left").withColumn("repeat", repeat).drop("__g", "__id", "__first", "__n")
 
 
 def flat_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph_id, phase, pos, row_key, type, message``: phase 0 are nodes, 1 edges.
 
-    Rows of equal position are ordered by their key. Nulls in other columns are
-    left out of a message's JSON.
+    Rows of equal position are ordered by their key; rows equal in both are one row.
+    Nulls in other columns are left out of a message's JSON.
     """
     parts = []
     for phase, what, rows, key, columns in (
         (0, "node", nodes, "node_key", ("id", "label", "type")),
         (1, "edge", edges, "edge_key", ("id", "source", "target", "type", "label")),
     ):
-        rows = _ranked(rows.select("graph_id", "pos", key, *columns), key)
-        found = F.when(F.col("nth").isNull(), f"missing_{what}_id").when(F.col("nth") > 1, "duplicate_id")
-        message = F.when(F.col("nth").isNull(), F.concat(F.lit(f"{what.capitalize()} missing id: "), F.to_json(F.struct(*columns)))).otherwise(
+        rows = _repeats(rows.select("graph_id", "pos", key, *columns), key)
+        found = F.when(F.col("repeat").isNull(), f"missing_{what}_id").when(F.col("repeat"), "duplicate_id")
+        message = F.when(F.col("repeat").isNull(), F.concat(F.lit(f"{what.capitalize()} missing id: "), F.to_json(F.struct(*columns)))).otherwise(
             F.concat(F.lit(f"Duplicate {what} id: "), F.col("id"))
         )
         parts.append(rows.select("graph_id", F.lit(phase).alias("phase"), "pos", F.col(key).alias("row_key"), found.alias("type"), message.alias("message")).where("type is not null"))

@@ -116,7 +116,8 @@ def wide_layered(boxes: DataFrame, edges: DataFrame, options: CanvasOptions) ->
     across = options.rankdir in ("LR", "RL")
     depth, span = ("width", "height") if across else ("height", "width")
     ranked, directed = peeled(boxes, edges)
-    at = ordered(tightened(ranked, directed), directed).join(boxes, [*KEY, "id"])
+    ranked = ranked if options.ranker == "longest-path" else tightened(ranked, directed)
+    at = ordered(ranked, directed).join(boxes, [*KEY, "id"])
     layer = [*KEY, "rank"]
     at = written(running(at, layer, ["nth"], F.col(span) + options.nodesep, "along"), "along")
     layers = at.groupBy(*layer).agg(F.max(depth).alias("deepest"), (F.sum(F.col(span) + options.nodesep) - options.nodesep).alias("long"))

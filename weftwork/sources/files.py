@@ -47,10 +47,5 @@ def write_json(df: DataFrame, path: str, pretty: bool = False) -> None:
     df.select(F.to_json(row, {"pretty": "true"} if pretty else {}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Canvas documents as text, by graph."""
-    docs.select("graph_id", F.col("document").alias("value")).write.mode("overwrite").partitionBy("graph_id").text(path)
-
-
 def dump(value, pretty: bool = False) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2 if pretty else None, separators=None if pretty else (",", ":")) + "\n"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import re
-import urllib.request
+import threading
 from dataclasses import dataclass
 from typing import NamedTuple, Protocol
+from urllib.parse import SplitResult, urlsplit
 
 from weftwork.model import MAX_RETRIES, MAX_TOKENS, TEMPERATURE, TIMEOUT_S, ExtractorConfig, ProviderConfig, ProviderError, SchemaSpec
 from weftwork.operators.prompt import request_json
@@ -97,12 +99,53 @@ def resolve_provider(args: dict, env=os.environ, prefix: str = "WEFTWORK_") -> P
 def reply_content(message: dict | None) -> str | None:
     """First of content and the two spellings of reasoning content that is text and not blank, untrimmed."""
     for name in ("content", "reasoning_content", "reasoningContent"):
-        value = (message or {}).get(name)
+        value = message.get(name) if isinstance(message, dict) else None
         if isinstance(value, str) and value.strip():
             return value
     return None
 
 
+#: Connections of this thread, by scheme and host.
+_OPEN = threading.local()
+
+
+def _connection(url: SplitResult, fresh: bool = False) -> http.client.HTTPConnection:
+    """The connection that this thread keeps to a service; a new one if there is none or ``fresh``."""
+    kept = _OPEN.__dict__.setdefault("kept", {})
+    key = (url.scheme, url.netloc)
+    if fresh and key in kept:
+        kept.pop(key).close()
+    if key not in kept:
+        kind = http.client.HTTPSConnection if url.scheme == "https" else http.client.HTTPConnection
+        kept[key] = kind(url.netloc, timeout=TIMEOUT_S)
+    return kept[key]
+
+
+def _post(url: str, body: str, headers: dict[str, str]) -> bytes:
+    """The body of an answer; an idle connection that the service has closed is opened once more."""
+    parts = urlsplit(url)
+    path = parts.path + (f"?{parts.query}" if parts.query else "")
+    for fresh in (False, True):
+        connection = _connection(parts, fresh)
+        idle = connection.sock is not None
+        try:
+            connection.request("POST", path, body.encode(), headers)
+            answer = connection.getresponse()
+            data = answer.read()
+        except (ConnectionError, http.client.RemoteDisconnected, http.client.CannotSendRequest):
+            connection.close()
+            if fresh or not idle:
+                raise
+            continue
+        except Exception:
+            connection.close()
+            raise
+        if answer.status >= 400:
+            raise OSError(f"HTTP {answer.status}: {data[:500].decode('utf-8', 'replace')}")
+        return data
+    raise AssertionError("unreachable")
+
+
 @dataclass(frozen=True)
 class HttpProvider:
     """Any chat-completion service; built on the executor, so that keys stay out of plans."""
@@ -118,17 +161,15 @@ class HttpProvider:
         if token := api_key(self.config):
             headers["Authorization"] = f"Bearer {token}"
         try:
-            request = urllib.request.Request(f"{base_url(self.config)}/chat/completions", body.encode(), headers)
-            with urllib.request.urlopen(request, timeout=TIMEOUT_S) as answer:
-                data = json.load(answer)
+            data = json.loads(_post(f"{base_url(self.config)}/chat/completions", body, headers))
+            choice = (data.get("choices") or [{}])[0] or {}
+            content, usage = reply_content(choice.get("message")), data.get("usage") or {}
+            counts = [usage.get(n) for n in ("prompt_tokens", "completion_tokens")]
         except Exception as error:
             raise ProviderError(f"LLM request failed: {mask_secrets(str(error))}", error) from error
-        choice = (data.get("choices") or [{}])[0]
-        content = reply_content(choice.get("message"))
         if content is None:
             raise ProviderError("Empty response from LLM")
-        usage = data.get("usage") or {}
-        return Reply(content, choice.get("finish_reason"), usage.get("prompt_tokens"), usage.get("completion_tokens"))
+        return Reply(content, choice.get("finish_reason"), *counts)
 
 
 @dataclass(frozen=True)
