@@ -130,4 +130,4 @@ class CanvasOptions:
     ranker: str = "network-simplex"
     acyclicer: str = "greedy"
     #: Components with more nodes are layered by distributed passes instead of in one task.
-    layout_limit: int = 2000
+    layout_limit: int = 5000

@@ -10,33 +10,47 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 from weftwork.model import CanvasOptions
 
 
 def acyclic(order: list[str], edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """The edges with those reversed that run against a greedy order of sinks and sources."""
-    out, into = defaultdict(set), defaultdict(set)
+    out, into = {v: set() for v in order}, {v: set() for v in order}
     for a, b in edges:
         out[a].add(b)
         into[b].add(a)
-    left, head, tail = dict.fromkeys(order), [], []
+    at = {v: i for i, v in enumerate(order)}
+    head, tail, gone = [], [], set()
+    # heaps of places in the order; an entry that no longer holds is passed over
+    sinks = [i for i, v in enumerate(order) if not out[v]]
+    sources = [i for i, v in enumerate(order) if not into[v]]
+    lead = [(len(into[v]) - len(out[v]), i) for i, v in enumerate(order)]
+    heapify(lead)
 
     def take(v, place):
         place.append(v)
-        left.pop(v)
-        for w in out.pop(v, ()):
-            into[w].discard(v)
-        for w in into.pop(v, ()):
-            out[w].discard(v)
-
-    while left:
-        if sink := next((v for v in left if not out.get(v)), None):
-            take(sink, tail)
-        elif source := next((v for v in left if not into.get(v)), None):
-            take(source, head)
-        else:
-            take(max(left, key=lambda v: len(out[v]) - len(into[v])), head)
+        gone.add(v)
+        for near, back, free in ((out[v], into, sources), (into[v], out, sinks)):
+            for w in near:
+                back[w].discard(v)
+                if w not in gone:
+                    if not back[w]:
+                        heappush(free, at[w])
+                    heappush(lead, (len(into[w]) - len(out[w]), at[w]))
+
+    while len(gone) < len(order):
+        while sinks or sources:
+            free, place = (sinks, tail) if sinks else (sources, head)
+            if (v := order[heappop(free)]) not in gone:
+                take(v, place)
+        while lead:
+            weight, i = heappop(lead)
+            v = order[i]
+            if v not in gone and weight == len(into[v]) - len(out[v]):
+                take(v, head)
+                break
     place = {v: i for i, v in enumerate(head + tail[::-1])}
     return list(dict.fromkeys((a, b) if place[a] < place[b] else (b, a) for a, b in edges))
 
@@ -159,7 +173,7 @@ def layered(nodes: list[tuple[str, int, int]], edges: list[tuple[str, str]], opt
         for v, w in zip(chain, chain[1:], strict=False):
             down[v].append(w)
             up[w].append(v)
-    best, fewest = [list(x) for x in layers], math.inf
+    best, fewest, stale = [list(x) for x in layers], math.inf, 0
     for sweep in range(8):
         pairs = range(1, len(layers)) if sweep % 2 == 0 else range(len(layers) - 2, -1, -1)
         for r in pairs:
@@ -170,9 +184,10 @@ def layered(nodes: list[tuple[str, int, int]], edges: list[tuple[str, str]], opt
             weight = {v: sum(place[w] for w in links[v]) / len(links[v]) if links.get(v) else old[v] for v in layers[r]}
             layers[r].sort(key=lambda v: (weight[v], old[v]))
         n = sum(_crossings(a, b, down) for a, b in zip(layers, layers[1:], strict=False))
+        stale = 0 if n < fewest else stale + 1
         if n < fewest:
             best, fewest = [list(x) for x in layers], n
-        if not n:
+        if not n or stale == 3:
             break
     layers = best
     gaps = {
