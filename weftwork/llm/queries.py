@@ -123,6 +123,15 @@ def p7_containers(spark, folder):
     return packing.containers(packing.token_items(table(spark, folder, "documents"), TOKENIZER))
 
 
+def p7_invariants(spark, folder):
+    """For each post whether its pieces cover its text, and lie in containers that are not overfull."""
+    packed = p7_containers(spark, folder)
+    full = packed.groupBy("container_id").agg((F.sum("n_tokens") <= packing.CAPACITY).alias("room"))
+    lengths = table(spark, folder, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    rows = packed.join(full, "container_id").join(lengths, "doc_id")
+    return rows.groupBy("doc_id").agg((F.sum(F.col("end_at") - F.col("start_at")) == F.max("n")).alias("covers"), F.bool_and("room").alias("fits"))
+
+
 def p7_fill(spark, folder):
     return packing.fill(p7_containers(spark, folder))
 
@@ -157,7 +166,7 @@ def p8_leaked_items(spark, folder):
 
 
 QUERIES = {
-    "p7_containers": p7_containers, "p7_fill": p7_fill, "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics,
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_invariants": p7_invariants, "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics,
     "p1_found": p1_found, "p1_spellings": p1_spellings,
     "p5_found": p5_found, "p5_report": p5_report, "p5_copies": p5_copies,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_invariants": p6_invariants, "p8_found": p8_found, "p8_spans": p8_spans, "p8_leaked_items": p8_leaked_items,
@@ -198,6 +207,7 @@ ORACLE = {
   SELECT *, concat_ws(',', {_REASONS}) AS reasons FROM stats""",
     "p5_copies": """SELECT DISTINCT 'raw' AS kind, md5(a.raw) AS value_id FROM replies a
   WHERE a.raw <> '' AND EXISTS (SELECT 1 FROM replies b WHERE length(b.raw) > length(a.raw) AND starts_with(b.raw, a.raw))""",
+    "p7_invariants": "SELECT DISTINCT doc_id, true AS covers, true AS fits FROM documents",
     "p3_stored": """WITH names AS (
     SELECT kind, canonical, unnest(list_prepend(canonical, coalesce(aliases, []))) AS value FROM type_vocab WHERE kind IS NOT NULL AND canonical IS NOT NULL),
   single AS (SELECT kind, value, min(canonical) AS canonical FROM names WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT canonical) = 1),
