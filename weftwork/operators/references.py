@@ -48,8 +48,12 @@ def edge_ends(edges: DataFrame) -> DataFrame:
 
 
 def suspect_keys(nodes: DataFrame, ends: DataFrame, period: str = "month", ranges: int | None = None) -> DataFrame:
-    """Keys and periods whose references no undeleted row surely covers: ``graph_id, ref, period``."""
-    ranges = ranges or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Keys and periods whose references no undeleted row surely covers: ``graph_id, ref, period``.
+
+    Without ``ranges`` there are as many as keep a range within a container of codes for
+    the number of node rows, so that no task sorts more than that, whatever the size.
+    """
+    ranges = ranges or max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // (CONTAINER // 2)))
     uses = ends.groupBy("graph_id", "ref", F.date_trunc(period, "at").alias("period")).agg(F.min("at").alias("first_at"))
     births = (
         nodes.where("graph_id is not null and id is not null and arrived_at is not null and deleted_at is null")

@@ -14,6 +14,7 @@ from weftwork.operators import canvas as cv
 from weftwork.operators import validate as va
 from weftwork.operators.extract import extract, input_status, masked, replay, response_content
 from weftwork.operators.parse import parse_replies
+from weftwork.operators.repair import truncated_column
 from weftwork.operators.prompt import prompt_column, prompts, schema_column
 from weftwork.session import fresh_folder
 from weftwork.sources.providers import RuleProvider
@@ -83,44 +84,32 @@ def parse_edges(spark, folder):
     return _parsed(spark, folder, "edges", ["id", "source", "target", "type", "label"])
 
 
-#: (raw, status, nodes) of crafted replies, chosen by request id.
-CRAFTED = (
-    ('{"nodes": [{"id": 1}]}', "ok", 1),
-    ("[]", "ok", 0),
-    ('[{"id": 1}]', "ok", 0),
-    ("null", "parse_error", 0),
-    ("5", "parse_error", 0),
-    ("plain words", "parse_error", 0),
-    ('[Note] {"nodes": []}', "parse_error", 0),
-    ("```\n{\"nodes\": [{\"id\": true}, {\"id\": null}],}\n```", "ok", 1),
-    ("{'nodes': []}", "parse_error", 0),
-    ('{"nodes": [{"id": [1, 2]}, {"id": {}}, {"id": ""}, {"id": []}, 7]}', "ok", 2),
-    ('{"nodes": [{"id": 1}', "parse_error", 0),
-    ('{"nodes": [{"id": "a"}], "nodes": [{"id": "b"}, {"id": "c"}]}', "ok", 2),
-)
-
-
-def parse_status(spark, folder):
-    n = len(CRAFTED)
-    raw = F.element_at(F.array(*(F.lit(c[0]) for c in CRAFTED)), (F.pmod("request_id", F.lit(n)) + 1).cast("int"))
-    parsed = parse_replies(table(spark, folder, "requests").select("request_id", raw.alias("raw")))
-    return parsed.select("request_id", "status", F.coalesce(F.size("graph.nodes"), F.lit(0)).cast("bigint").alias("n_nodes"))
+_REPLY = ["graph_id", "attempt", "received_at"]
 
 
 def parse_table_replies(spark, folder):
     parsed = parse_replies(table(spark, folder, "replies"))
     sizes = [F.coalesce(F.size(f"graph.{n}"), F.lit(0)).cast("bigint").alias(f"n_{n}") for n in ("nodes", "edges")]
-    return parsed.select("graph_id", "attempt", "received_at", "status", *sizes)
+    return parsed.select(*_REPLY, "status", *sizes)
+
+
+def _reply_items(spark, folder, name, columns):
+    parsed = parse_replies(table(spark, folder, "replies"))
+    return parsed.select(*_REPLY, F.posexplode(f"graph.{name}").alias("k", "v")).select(*_REPLY, F.col("k").cast("bigint").alias("k"), *(f"v.{c}" for c in columns))
 
 
-#: (id as JSON, as ECMAScript text) by request id.
-IDS = (("1", "1"), ("1.0", "1"), ("1.50", "1.5"), ("1e2", "100"), ("1e21", "1e+21"), ("1e-7", "1e-7"), ("true", "true"), ("0", "0"), ("false", "false"), ("[1, 2]", "1,2"), ("{}", "[object Object]"), ('"  "', "  "))
+def parse_reply_nodes(spark, folder):
+    return _reply_items(spark, folder, "nodes", ["id", "label", "type"])
 
 
-def parse_id_coercion(spark, folder):
-    value = F.element_at(F.array(*(F.lit(i[0]) for i in IDS)), (F.pmod("request_id", F.lit(len(IDS))) + 1).cast("int"))
-    raw = F.concat(F.lit('{"nodes": [{"id": '), value, F.lit("}]}"))
-    return parse_replies(table(spark, folder, "requests").select("request_id", raw.alias("raw"))).select("request_id", F.col("graph.nodes")[0]["id"].alias("id"))
+def parse_reply_edges(spark, folder):
+    return _reply_items(spark, folder, "edges", ["id", "source", "target", "type", "label"])
+
+
+def broken_replies(spark, folder):
+    """Replies that begin with JSON which never closes."""
+    rows = table(spark, folder, "replies").where("raw is not null")
+    return rows.select(*_REPLY, truncated_column(F.col("raw")).alias("breaks_off"))
 
 
 def validate_built(spark, folder):
@@ -131,6 +120,14 @@ def validate_built(spark, folder):
     return checked.select("graph_id", "block", *(F.size(c).cast("bigint").alias(n) for n, c in sizes.items()), v["valid"].alias("valid"))
 
 
+def validate_replies(spark, folder):
+    """Nested validation of the real replies."""
+    checked = va.validate_graphs(parse_replies(table(spark, folder, "replies"))).where("status = 'ok'")
+    v = F.col("validation")
+    sizes = {"n_nodes": v["graph"]["nodes"], "n_edges": v["graph"]["edges"], "n_errors": v["errors"], "n_warnings": v["warnings"]}
+    return checked.select(*_REPLY, *(F.size(c).cast("bigint").alias(n) for n, c in sizes.items()), v["valid"].alias("valid"))
+
+
 # --- flat validation ------------------------------------------------------------------
 
 
@@ -139,7 +136,7 @@ def _two(spark, folder):
 
 
 def validate_errors(spark, folder):
-    return va.flat_errors(*_two(spark, folder)).select("graph_id", "phase", "pos", "row_key", "type", F.when(F.col("type") == "duplicate_id", F.col("message")).alias("message"))
+    return va.flat_errors(*_two(spark, folder))
 
 
 def validate_warnings(spark, folder):
@@ -160,34 +157,29 @@ def validate_summary(spark, folder):
 
 # --- attempts -------------------------------------------------------------------------
 
-#: (raw, parses, breaks off) of crafted attempts.
-ATTEMPTS = (('{"nodes": []}', True, False), ('{"nodes": [', False, True), ("no graph", False, False), ("sorry", False, False), ("   ", False, False))
-
-
-def _attempts(spark, folder):
-    rows = table(spark, folder, "replies").select("graph_id", "attempt", "finish_reason", "prompt_tokens", "completion_tokens").dropDuplicates(["graph_id", "attempt"])
-    raw = F.element_at(F.array(*(F.lit(a[0]) for a in ATTEMPTS)), (F.pmod(F.col("graph_id") * 3 + F.col("attempt") * F.pmod(F.col("graph_id"), F.lit(4)), F.lit(len(ATTEMPTS))) + 1).cast("int"))
-    reason = F.when(F.pmod("graph_id", F.lit(3)) == 0, "stop").when(F.pmod("graph_id", F.lit(3)) == 1, "length")
-    return rows.select("graph_id", "attempt", raw.alias("raw"), reason.alias("finish_reason"), (F.col("graph_id") % 1000).alias("prompt_tokens"), (F.col("attempt") + 7).cast("bigint").alias("completion_tokens"))
-
 
 def retry_outcome(spark, folder):
-    return replay(_attempts(spark, folder)).select("graph_id", "status", "attempts", F.col("error").isNotNull().alias("failed"))
+    return replay(table(spark, folder, "replies")).select("graph_id", "status", "attempts", "error")
 
 
 def usage_totals(spark, folder):
-    out = replay(_attempts(spark, folder))
+    out = replay(table(spark, folder, "replies"))
     return out.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
 
 
 def response_text(spark, folder):
-    rows = table(spark, folder, "replies").select("graph_id", "attempt", "received_at", "raw", "finish_reason", "model")
-    return rows.select("graph_id", "attempt", "received_at", F.md5(response_content(F.when(F.col("finish_reason") == "stop", F.col("raw")), F.when(F.col("attempt") > 0, F.lit(" \n")), F.col("model"))).alias("content_md5"))
+    """Content where the reply had stopped, else the reply as the reasoning beside it."""
+    stopped = F.col("finish_reason") == "stop"
+    rows = table(spark, folder, "replies")
+    content = response_content(F.when(stopped, F.col("raw")), F.when(~stopped, F.col("raw")), F.when(stopped.isNull(), F.col("raw")))
+    return rows.select(*_REPLY, F.md5(content).alias("content_md5"))
 
 
 def mask_secrets(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("LLM request failed: key sk-aB9_x-"), F.col("doc_id").cast("string"), F.lit(". "), F.substring("author", 1, 5)).alias("message"))
-    return rows.where("message is not null").select("doc_id", masked(F.col("message")).alias("message"))
+    """A key in front of and behind each whole text."""
+    key = F.concat(F.lit("sk-aB9_x-"), F.col("doc_id").cast("string"))
+    message = F.concat(F.lit("LLM request failed: "), key, F.lit(" "), F.col("text"), F.lit(" "), key, F.lit("."))
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.md5(masked(message)).alias("message_md5"))
 
 
 # --- canvas ---------------------------------------------------------------------------
@@ -212,10 +204,14 @@ def canvas_edge_labels(spark, folder):
 
 
 def canvas_edge_sides(spark, folder):
-    rows = table(spark, folder, "edges").where("pos is not null")
-    dx = F.pmod(F.col("edge_key"), F.lit(21)) - 10
-    dy = F.pmod(F.col("edge_key") * 7 + F.col("pos"), F.lit(21)) - 10
-    return rows.withColumn("s", cv.edge_sides(F.col("source").eqNullSafe(F.col("target")), dx, dy)).select("edge_key", "s.from_side", "s.to_side")
+    """Sides by the differences of the ends' measured widths and heights."""
+    nodes, edges = _two(spark, folder)
+    clean = cv.clean_nodes(nodes)
+    links, boxes = cv.clean_edges(clean, edges), cv.measured(clean)
+    for end in ("source", "target"):
+        links = links.join(boxes.select("graph_id", F.col("id").alias(end), F.col("width").alias(f"{end}_w"), F.col("height").alias(f"{end}_h")), ["graph_id", end])
+    sides = cv.edge_sides(F.col("source") == F.col("target"), F.col("target_w") - F.col("source_w"), F.col("target_h") - F.col("source_h"))
+    return links.withColumn("s", sides).select("graph_id", "id", "s.from_side", "s.to_side")
 
 
 def graph_components(spark, folder):
@@ -231,12 +227,13 @@ def component_anchor(spark, folder):
 
 
 def canvas_pack(spark, folder):
-    rows = table(spark, folder, "edges").where("graph_id is not null").groupBy("graph_id", F.pmod("edge_key", F.lit(40)).alias("k")).agg(F.count("*").alias("n"))
-    boxes = rows.select(
-        "graph_id", F.col("k").cast("string").alias("component"), F.lpad(F.col("k").cast("string"), 3, "0").alias("anchor"),
-        (220 + F.col("k") * 13 % 700).cast("int").alias("width"), (144 + F.col("k") * 29 % 300).cast("int").alias("height"),
-    )
-    return cv.packed(boxes)
+    """All components of all graphs, each a stack of its measured boxes."""
+    nodes, edges = _two(spark, folder)
+    clean = cv.clean_nodes(nodes.where("graph_id is not null"))
+    named = cv.with_components(clean, cv.clean_edges(clean, edges)).select("graph_id", "id", "component")
+    boxes = cv.measured(clean).select("graph_id", "id", "width", "height").join(named, ["graph_id", "id"])
+    stacks = boxes.groupBy("graph_id", "component").agg(F.max("width").alias("width"), F.sum("height").cast("int").alias("height"))
+    return cv.packed(stacks.withColumn("anchor", F.md5("component")))
 
 
 def canvas_positions(spark, folder):
@@ -247,6 +244,24 @@ def canvas_links(spark, folder):
     return cv.canvas(*_two(spark, folder))[1]
 
 
+def canvas_boxes(spark, folder):
+    """Size and colour of every placed node, and whether it lies within the padding."""
+    done = cv.canvas(*_two(spark, folder))[0]
+    return done.select("graph_id", "id", "width", "height", "color", ((F.col("x") >= 120) & (F.col("y") >= 120)).alias("inside"))
+
+
+def canvas_link_ends(spark, folder):
+    return cv.canvas(*_two(spark, folder))[1].drop("from_side", "to_side")
+
+
+def canvas_document_sizes(spark, folder):
+    """Items of each graph over all parts of its document."""
+    docs = cv.documents(*cv.canvas(*_two(spark, folder)), part_items=100)
+    v = F.parse_json("document")
+    sizes = [F.sum(F.size(F.variant_get(v, f"$.{n}", "array<variant>"))).alias(f"n_{n}") for n in ("nodes", "edges")]
+    return docs.groupBy("graph_id").agg(*sizes)
+
+
 def canvas_documents(spark, folder):
     return cv.documents(*cv.canvas(*_two(spark, folder)))
 
@@ -267,10 +282,10 @@ def extract_stream(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        prompt_requests, empty_input_status, parse_nodes, parse_edges, parse_status, parse_table_replies, parse_id_coercion, validate_built,
+        prompt_requests, empty_input_status, parse_nodes, parse_edges, parse_table_replies, parse_reply_nodes, parse_reply_edges, broken_replies, validate_built, validate_replies,
         validate_errors, validate_warnings, validate_nodes, validate_edges, validate_summary, retry_outcome, usage_totals, response_text, mask_secrets,
         canvas_nodes, canvas_edges, canvas_measure, canvas_edge_labels, canvas_edge_sides, graph_components, component_anchor, canvas_pack,
-        canvas_positions, canvas_links, canvas_documents, extract_documents, extract_stream,
+        canvas_positions, canvas_links, canvas_documents, canvas_boxes, canvas_link_ends, canvas_document_sizes, extract_documents, extract_stream,
     )
 } | {
     "prompt_default": _prompt_query(SchemaSpec()),
@@ -340,10 +355,6 @@ _E = "'person, organization, location, date, product, event, concept, other'"
 _R = "'works_for, founded, acquired, located_in, born_in, died_in, married_to, subsidiary_of, created, member_of, produced_by, part_of, owns, related_to'"
 
 
-def _case(key, values, cast=""):
-    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {_quoted(v) if isinstance(v, str) else v}" for k, v in enumerate(values)) + " END" + cast
-
-
 _COMMA = r"regexp_replace({}, ',(" + WS + r"*[}}\]])', '\1', 'g')"
 
 
@@ -360,15 +371,21 @@ _BUILT = f"""
   pn AS (SELECT * FROM n WHERE id <> ''),
   pe AS (SELECT * FROM e WHERE id <> '' AND source <> '' AND target <> '')"""
 
+def _dump(*columns):
+    """JSON of a row's columns that are not null."""
+    parts = ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN concat('"{c}":', to_json({c})) END""" for c in columns)
+    return f"concat('{{', concat_ws(',', {parts}), '}}')"
+
+
 _FLAT = """
   known AS (SELECT DISTINCT graph_id, id FROM nodes WHERE id <> ''),
   flagged AS (SELECT e.*, s.id IS NOT NULL AS source_ok, t.id IS NOT NULL AS target_ok FROM (SELECT * FROM edges WHERE id <> '') e
     LEFT JOIN known s ON s.graph_id = e.graph_id AND s.id = e.source LEFT JOIN known t ON t.graph_id = e.graph_id AND t.id = e.target),
   errors AS (
-    SELECT graph_id, 0 AS phase, pos, node_key AS row_key, id, row_number() OVER (PARTITION BY graph_id, id ORDER BY pos, node_key) AS nth FROM nodes
-    UNION ALL SELECT graph_id, 1, pos, edge_key, id, row_number() OVER (PARTITION BY graph_id, id ORDER BY pos, edge_key) FROM edges),
+    SELECT graph_id, 0 AS phase, pos, node_key AS row_key, id, row_number() OVER (PARTITION BY graph_id, id ORDER BY pos, node_key) AS nth, """ + _dump("id", "label", "type") + """ AS dump FROM nodes
+    UNION ALL SELECT graph_id, 1, pos, edge_key, id, row_number() OVER (PARTITION BY graph_id, id ORDER BY pos, edge_key), """ + _dump("id", "source", "target", "type", "label") + """ FROM edges),
   found AS (SELECT graph_id, phase, pos, row_key, CASE WHEN coalesce(id, '') = '' THEN CASE phase WHEN 0 THEN 'missing_node_id' ELSE 'missing_edge_id' END ELSE 'duplicate_id' END AS type,
-      CASE WHEN id <> '' THEN concat('Duplicate ', CASE phase WHEN 0 THEN 'node' ELSE 'edge' END, ' id: ', id) END AS message
+      CASE WHEN id <> '' THEN concat('Duplicate ', CASE phase WHEN 0 THEN 'node' ELSE 'edge' END, ' id: ', id) ELSE concat(CASE phase WHEN 0 THEN 'Node' ELSE 'Edge' END, ' missing id: ', dump) END AS message
     FROM errors WHERE coalesce(id, '') = '' OR nth > 1),
   warned AS (
     SELECT graph_id, pos, edge_key AS row_key, 0 AS ord, 'invalid_edge_source' AS type, concat('Edge ', id, ' references non-existent source: ', coalesce(source, 'undefined')) AS message, id AS edge_id FROM flagged WHERE NOT source_ok
@@ -402,13 +419,89 @@ def _lines(text, room):
 
 _COLOR = """CASE type WHEN 'person' THEN '#dc2626' WHEN 'organization' THEN '#0f766e' WHEN 'location' THEN '#0891b2' WHEN 'date' THEN '#ca8a04'
     WHEN 'product' THEN '#7c3aed' WHEN 'event' THEN '#2563eb' WHEN 'concept' THEN '#15803d' ELSE '#475569' END"""
-_RETRY = f"""
-  a AS (SELECT DISTINCT graph_id, attempt FROM replies WHERE graph_id IS NOT NULL),
-  b AS (SELECT graph_id, attempt, (graph_id * 3 + attempt * (graph_id % 4)) % 5 AS kind, row_number() OVER (PARTITION BY graph_id ORDER BY attempt) AS nth FROM a),
-  c AS (SELECT *, kind = 0 AS ok, kind = 4 AS empty,
-      kind IN (0, 4) OR coalesce(kind = lag(kind) OVER (PARTITION BY graph_id ORDER BY attempt), false) OR (kind = 1 AND graph_id % 3 = 0) AS stops FROM b),
+#: A reply from raw to strict JSON: ``r0`` numbers the rows, ``cut`` is the first balanced bracket expression, ``v`` what parses.
+_TOKEN = r'(?s)"(?:[^"\\]|\\.)*"?|\\.|[{}\[\]]|[^"\\{}\[\]]+'
+_WHOLE = r'(?s)"(?:[^"\\]|\\.)*"'
+
+
+def _depth(tok):
+    return f"CASE WHEN {tok} IN ('{{', '[') THEN 1 WHEN {tok} IN ('}}', ']') THEN -1 ELSE 0 END"
+
+
+_REPAIRED = rf"""
+  r0 AS (SELECT *, row_number() OVER () AS rid, {_trim("raw")} AS trimmed FROM replies),
+  r1 AS (SELECT rid, trimmed, CASE WHEN starts_with(trimmed, '```') AND ends_with(trimmed, '```')
+      THEN coalesce(nullif({_trim("regexp_extract(trimmed, '(?s)^```(?:json)?" + WS + "*(.*?)" + WS + "*```$', 1)")}, ''), trimmed) ELSE trimmed END AS plain FROM r0),
+  r2 AS (SELECT rid, trimmed, plain, regexp_extract(plain, '(?s)[{{\[].*') AS tail FROM r1),
+  toks AS (SELECT rid, unnest(l) AS tok, unnest(range(len(l))) AS i FROM (SELECT rid, regexp_extract_all(tail, '{_TOKEN}') AS l FROM r2 WHERE tail <> '')),
+  deep AS (SELECT rid, tok, i, sum({_depth("tok")}) OVER (PARTITION BY rid ORDER BY i) AS depth, sum(length(tok)) OVER (PARTITION BY rid ORDER BY i) AS upto FROM toks),
+  ends AS (SELECT rid, min(upto) AS upto FROM deep WHERE depth = 0 GROUP BY rid),
+  r3 AS (SELECT r2.rid, trimmed, {_uncomma("CASE WHEN ends.upto IS NOT NULL THEN left(tail, ends.upto::BIGINT) ELSE plain END")} AS text FROM r2 LEFT JOIN ends USING (rid)),
+  alltoks AS (SELECT rid, unnest(l) AS tok, unnest(range(len(l))) AS i FROM (SELECT rid, regexp_extract_all(trimmed, '{_TOKEN}') AS l FROM r1 WHERE trimmed[1] IN ('{{', '['))),
+  broken AS (SELECT rid, sum({_depth("tok")}) > 0 OR bool_or(tok[1] = '"' AND NOT regexp_full_match(tok, '{_WHOLE}')) AS breaks_off FROM alltoks GROUP BY rid),
+  r AS (SELECT r0.* EXCLUDE (rid, trimmed), r0.rid, r3.text, coalesce(breaks_off, false) AS breaks_off, json_valid(r3.text) AS valid, CASE WHEN json_valid(r3.text) THEN r3.text::JSON END AS v
+    FROM r0 LEFT JOIN r3 USING (rid) LEFT JOIN broken USING (rid)),
+  p AS (SELECT *, CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN 'ok' ELSE 'parse_error' END AS status,
+    CASE WHEN v IS NULL THEN 'Failed to parse JSON' WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN 'Response is not a JSON object' END AS error FROM r)"""
+
+
+def _js(x, name):
+    """A field as ECMAScript writes it."""
+    f = f"json_extract({x}, '$.{name}')"
+    number = f"CASE WHEN {f}::DOUBLE = floor({f}::DOUBLE) THEN {f}::DOUBLE::BIGINT::VARCHAR ELSE {f}::DOUBLE::VARCHAR END"
+    return (
+        f"CASE json_type({f}) WHEN 'VARCHAR' THEN json_extract_string({x}, '$.{name}') WHEN 'DOUBLE' THEN {number} WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN '[object Object]' "
+        f"WHEN 'ARRAY' THEN array_to_string(list_transform(json_extract_string({f}, '$[*]'), lambda y: coalesce(y, '')), ',') ELSE {f}::VARCHAR END"
+    )
+
+
+def _string(x, name):
+    return f"CASE json_type(json_extract({x}, '$.{name}')) WHEN 'VARCHAR' THEN json_extract_string({x}, '$.{name}') END"
+
+
+_ITEMS = f"""{_REPAIRED},
+  ni AS (SELECT rid, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT rid, json_extract(v, '$.nodes[*]') AS l FROM p WHERE json_type(json_extract(v, '$.nodes')) = 'ARRAY')),
+  ei AS (SELECT rid, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT rid, json_extract(v, '$.edges[*]') AS l FROM p WHERE json_type(json_extract(v, '$.edges')) = 'ARRAY')),
+  rn AS (SELECT rid, i, {_js("x", "id")} AS id, coalesce({_js("x", "label")}, '') AS label, coalesce({_string("x", "type")}, 'other') AS type FROM ni WHERE json_type(x) = 'OBJECT'),
+  re0 AS (SELECT rid, i, {_js("x", "id")} AS id, {_js("x", "source")} AS source, {_js("x", "target")} AS target, coalesce({_string("x", "type")}, 'related_to') AS type,
+      {_string("x", "label")} AS said FROM ei WHERE json_type(x) = 'OBJECT'),
+  gn AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS k FROM rn WHERE id <> ''),
+  ge AS (SELECT *, coalesce(said, replace(type, '_', ' ')) AS label, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS k FROM re0 WHERE id <> '' AND source <> '' AND target <> '')"""
+
+_RETRY = f"""{_REPAIRED},
+  a AS (SELECT * FROM p WHERE graph_id IS NOT NULL AND attempt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY graph_id, attempt
+    ORDER BY raw NULLS FIRST, finish_reason NULLS FIRST, prompt_tokens NULLS FIRST, completion_tokens NULLS FIRST) = 1),
+  b AS (SELECT *, coalesce({_trim("raw")}, '') = '' AS empty, row_number() OVER w AS nth, coalesce(raw = lag(raw) OVER w, false) AS again FROM a WINDOW w AS (PARTITION BY graph_id ORDER BY attempt)),
+  c AS (SELECT *, empty OR status = 'ok' OR again OR coalesce(finish_reason = 'stop' AND breaks_off, false) AS stops FROM b),
   d AS (SELECT *, coalesce(sum(stops::INT) OVER (PARTITION BY graph_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM c WHERE nth <= 3),
-  f AS (SELECT graph_id, max(nth) AS attempts, arg_max(CASE WHEN empty THEN 'provider_error' WHEN ok THEN 'ok' ELSE 'parse_error' END, nth) AS status, max(attempt) AS last FROM d WHERE over = 0 GROUP BY graph_id)"""
+  f AS (SELECT *, max(nth) OVER (PARTITION BY graph_id) AS attempts FROM d WHERE over = 0 QUALIFY nth = max(nth) OVER (PARTITION BY graph_id)),
+  o AS (SELECT graph_id, CASE WHEN empty THEN 'provider_error' ELSE status END AS status, attempts,
+      CASE WHEN empty THEN 'Empty response from LLM' WHEN status <> 'ok' THEN concat(error, CASE WHEN coalesce(finish_reason, '') <> '' THEN concat(' (finish_reason: ', finish_reason, ')') ELSE '' END) END AS error,
+      CASE WHEN NOT empty AND status = 'ok' THEN prompt_tokens END AS prompt_tokens, CASE WHEN NOT empty AND status = 'ok' THEN completion_tokens END AS completion_tokens FROM f)"""
+
+#: The offline provider: words of a line that are one capital and small letters, the defect by id.
+_EXTRACTED = f"""
+  d AS (SELECT doc_id, text, doc_id % 8 AS defect FROM documents WHERE coalesce({_trim("text")}, '') <> ''),
+  ln AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)),
+  wd AS (SELECT doc_id, k, list_filter(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{2,}}')) AS l FROM ln),
+  nm AS (SELECT doc_id, k, unnest(l) AS name, unnest(range(len(l))) AS i FROM wd),
+  pr AS (SELECT doc_id, name, lag(name) OVER (PARTITION BY doc_id, k ORDER BY i) AS before FROM nm),
+  c AS (SELECT d.doc_id, defect, coalesce(n, 0) AS n, coalesce(e, 0) AS e FROM d LEFT JOIN (
+    SELECT doc_id, count(DISTINCT name) AS n, count(*) FILTER (before IS NOT NULL AND before <> name) AS e FROM pr GROUP BY 1) USING (doc_id)),
+  x AS (SELECT doc_id, 'ok' AS status, n + (defect = 5 AND n > 0)::INT AS n_nodes, e AS n_edges, (defect = 5 AND n > 0)::BIGINT AS n_errors,
+      (CASE WHEN defect = 4 THEN CASE WHEN n > 0 THEN 2 ELSE 3 END ELSE 0 END)::BIGINT AS n_warnings, NOT (defect = 5 AND n > 0) AS valid FROM c
+    UNION ALL SELECT doc_id, 'input_error', 0, 0, 0, 0, false FROM documents WHERE coalesce({_trim("text")}, '') = '')"""
+
+_BOXES = f"""
+  w AS (SELECT *, greatest(220, least(360, 220 + 4 * greatest(0, least({_LEN.format("label")} - 12, 32))))::INT AS width FROM cn),
+  rooms AS (SELECT *, greatest(16, (width - 48) // 8)::INT AS r8, greatest(16, (width - 48) // 9)::INT AS r9 FROM w),
+  boxes AS (SELECT graph_id, id, width, greatest(110, least(220, 92 + 30 * {_lines("label", "r8")} + 22 * {_lines("concat('Type: ', type)", "r9")}))::INT AS height,
+    md5(concat('# ', label, chr(10), chr(10), 'Type: ', type)) AS text_md5, {_COLOR} AS color FROM rooms)"""
+_MEASURED = f"{_CLEAN}, {_BOXES}"
+_REACH = f"""{_CLEAN},
+  vertices AS (SELECT * FROM cn WHERE graph_id IS NOT NULL),
+  links AS (SELECT DISTINCT graph_id, source AS a, target AS b FROM ce UNION SELECT DISTINCT graph_id, target, source FROM ce),
+  reach AS (SELECT graph_id, id AS a, id AS b FROM vertices UNION SELECT r.graph_id, r.a, l.b FROM reach r JOIN links l ON l.graph_id = r.graph_id AND l.a = r.b)"""
 
 ORACLE = {
     "prompt_default": f"SELECT request_id, {_prompt_sql(_E, _R, 'NULL::VARCHAR', 'NULL::INT', 'NULL::INT')} AS prompt_md5 FROM requests WHERE text IS NOT NULL",
@@ -420,8 +513,19 @@ ORACLE = {
     "empty_input_status": f"SELECT CASE WHEN coalesce({_trim('text')}, '') <> '' THEN 'ok' ELSE 'input_error' END AS status, count(*) AS n FROM requests GROUP BY 1",
     "parse_nodes": f"WITH {_BUILT} SELECT graph_id, block::BIGINT AS block, row_number() OVER (PARTITION BY graph_id, block ORDER BY pos, node_key) - 1 AS k, id, label, type FROM pn",
     "parse_edges": f"WITH {_BUILT} SELECT graph_id, block::BIGINT AS block, row_number() OVER (PARTITION BY graph_id, block ORDER BY pos, edge_key) - 1 AS k, id, source, target, type, label FROM pe",
-    "parse_status": f"SELECT request_id, {_case('request_id', [c[1] for c in CRAFTED])} AS status, {_case('request_id', [c[2] for c in CRAFTED])}::BIGINT AS n_nodes FROM requests",
-    "parse_id_coercion": f"SELECT request_id, {_case('request_id', [i[1] for i in IDS])} AS id FROM requests",
+    "parse_table_replies": f"""WITH {_ITEMS}, n AS (SELECT rid, count(*) AS c FROM gn GROUP BY 1), e AS (SELECT rid, count(*) AS c FROM ge GROUP BY 1)
+  SELECT graph_id, attempt, received_at, status, coalesce(n.c, 0) AS n_nodes, coalesce(e.c, 0) AS n_edges FROM p LEFT JOIN n USING (rid) LEFT JOIN e USING (rid)""",
+    "parse_reply_nodes": f"WITH {_ITEMS} SELECT graph_id, attempt, received_at, k, id, label, gn.type FROM gn JOIN p USING (rid)",
+    "parse_reply_edges": f"WITH {_ITEMS} SELECT graph_id, attempt, received_at, k, id, source, target, ge.type, label FROM ge JOIN p USING (rid)",
+    "validate_replies": f"""WITH {_ITEMS},
+  n AS (SELECT rid, count(*) AS c, count(*) - count(DISTINCT id) AS dup FROM gn GROUP BY 1),
+  known_ends AS (SELECT rid, EXISTS (SELECT 1 FROM gn WHERE gn.rid = ge.rid AND gn.id = ge.source) AS s, EXISTS (SELECT 1 FROM gn WHERE gn.rid = ge.rid AND gn.id = ge.target) AS t, id FROM ge),
+  e AS (SELECT rid, count(*) FILTER (s AND t) AS c, count(*) - count(DISTINCT id) AS dup, sum((NOT s)::INT + (NOT t)::INT + (NOT (s AND t))::INT) AS w FROM known_ends GROUP BY 1)
+  SELECT graph_id, attempt, received_at, coalesce(n.c, 0) AS n_nodes, coalesce(e.c, 0) AS n_edges, (coalesce(n.dup, 0) + coalesce(e.dup, 0))::BIGINT AS n_errors,
+    coalesce(w, 0)::BIGINT AS n_warnings, coalesce(n.dup, 0) + coalesce(e.dup, 0) = 0 AS valid FROM p LEFT JOIN n USING (rid) LEFT JOIN e USING (rid) WHERE status = 'ok'""",
+    "broken_replies": f"WITH {_REPAIRED} SELECT graph_id, attempt, received_at, breaks_off FROM p WHERE raw IS NOT NULL",
+    "extract_documents": f"WITH {_EXTRACTED} SELECT * FROM x",
+    "extract_stream": f"WITH {_EXTRACTED} SELECT * FROM x",
     "validate_built": f"""WITH {_BUILT},
   keys AS (SELECT DISTINCT graph_id, block FROM n UNION SELECT DISTINCT graph_id, block FROM e),
   good AS (SELECT pe.*, EXISTS (SELECT 1 FROM pn WHERE pn.graph_id = pe.graph_id AND pn.block = pe.block AND pn.id = pe.source) AS s,
@@ -442,31 +546,36 @@ ORACLE = {
     (SELECT count(*) FROM found f WHERE f.graph_id IS NOT DISTINCT FROM g.graph_id) AS n_errors,
     (SELECT count(*) FROM warned w WHERE w.graph_id IS NOT DISTINCT FROM g.graph_id) AS n_warnings FROM g)
   SELECT *, n_errors = 0 AS valid FROM c""",
-    "retry_outcome": f"WITH {_RETRY} SELECT graph_id, status, attempts, status <> 'ok' AS failed FROM f",
-    "usage_totals": f"""WITH {_RETRY} SELECT status, count(*) AS n, coalesce(sum(CASE WHEN status = 'ok' THEN graph_id % 1000 END), 0)::BIGINT AS prompt_tokens,
-      coalesce(sum(CASE WHEN status = 'ok' THEN last + 7 END), 0)::BIGINT AS completion_tokens FROM f GROUP BY 1""",
-    "response_text": f"SELECT graph_id, attempt, received_at, md5(CASE WHEN finish_reason = 'stop' AND {_trim('raw')} <> '' THEN raw ELSE nullif(model, '') END) AS content_md5 FROM replies",
-    "mask_secrets": "SELECT doc_id, concat('LLM request failed: key sk-***. ', left(author, 5)) AS message FROM documents WHERE doc_id IS NOT NULL AND author IS NOT NULL",
+    "retry_outcome": f"WITH {_RETRY} SELECT graph_id, status, attempts, error FROM o",
+    "usage_totals": f"""WITH {_RETRY} SELECT status, count(*) AS n, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens FROM o GROUP BY 1""",
+    "response_text": f"SELECT graph_id, attempt, received_at, md5(CASE WHEN {_trim('raw')} <> '' THEN raw END) AS content_md5 FROM replies",
+    "mask_secrets": """SELECT doc_id, md5(regexp_replace(concat('LLM request failed: sk-aB9_x-', doc_id, ' ', text, ' sk-aB9_x-', doc_id, '.'), 'sk-[A-Za-z0-9_-]+', 'sk-***', 'g')) AS message_md5
+  FROM documents WHERE text IS NOT NULL""",
     "canvas_nodes": f"WITH {_CLEAN} SELECT graph_id, pos, id, label, type FROM cn",
     "canvas_edges": f"WITH {_CLEAN} SELECT graph_id, pos, id, source, target, type, label FROM ce",
-    "canvas_measure": f"""WITH {_CLEAN}, w AS (SELECT *, greatest(220, least(360, 220 + 4 * greatest(0, least({_LEN.format("label")} - 12, 32))))::INT AS width FROM cn),
-  r AS (SELECT *, greatest(16, (width - 48) // 8)::INT AS r8, greatest(16, (width - 48) // 9)::INT AS r9 FROM w)
-  SELECT graph_id, id, width, greatest(110, least(220, 92 + 30 * {_lines("label", "r8")} + 22 * {_lines("concat('Type: ', type)", "r9")}))::INT AS height,
-    md5(concat('# ', label, chr(10), chr(10), 'Type: ', type)) AS text_md5, {_COLOR} AS color FROM r""",
+    "canvas_measure": f"WITH {_MEASURED} SELECT graph_id, id, width, height, text_md5, color FROM boxes",
     "canvas_edge_labels": f"""WITH t AS (SELECT edge_key, type, {_trim("label")} AS told, replace(type, '_', ' ') AS words FROM edges WHERE type IS NOT NULL)
   SELECT edge_key, CASE WHEN coalesce(told, '') = '' THEN words
     WHEN array_to_string(list_filter(regexp_split_to_array(lower(told), '{WS}+'), lambda w: w <> ''), ' ') = array_to_string(list_filter(regexp_split_to_array(lower(words), '{WS}+'), lambda w: w <> ''), ' ') THEN told
     ELSE type END AS label FROM t""",
-    "canvas_edge_sides": """WITH d AS (SELECT edge_key, source IS NOT DISTINCT FROM target AS same, edge_key % 21 - 10 AS dx, (edge_key * 7 + pos) % 21 - 10 AS dy FROM edges WHERE pos IS NOT NULL)
-  SELECT edge_key, CASE WHEN same THEN 'right' WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'right' ELSE 'left' END WHEN dy >= 0 THEN 'bottom' ELSE 'top' END AS from_side,
+    "canvas_edge_sides": f"""WITH {_MEASURED}, d AS (SELECT ce.graph_id, ce.id, source = target AS same, t.width - s.width AS dx, t.height - s.height AS dy
+    FROM ce JOIN boxes s ON s.graph_id = ce.graph_id AND s.id = ce.source JOIN boxes t ON t.graph_id = ce.graph_id AND t.id = ce.target)
+  SELECT graph_id, id, CASE WHEN same THEN 'right' WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'right' ELSE 'left' END WHEN dy >= 0 THEN 'bottom' ELSE 'top' END AS from_side,
     CASE WHEN same THEN 'top' WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'left' ELSE 'right' END WHEN dy >= 0 THEN 'top' ELSE 'bottom' END AS to_side FROM d""",
-    "graph_components": f"""WITH RECURSIVE {_CLEAN},
-  vertices AS (SELECT * FROM cn WHERE graph_id IS NOT NULL),
-  links AS (SELECT DISTINCT graph_id, source AS a, target AS b FROM ce UNION SELECT DISTINCT graph_id, target, source FROM ce),
-  reach AS (SELECT graph_id, id AS a, id AS b FROM vertices UNION SELECT r.graph_id, r.a, l.b FROM reach r JOIN links l ON l.graph_id = r.graph_id AND l.a = r.b)
+    "graph_components": f"""WITH RECURSIVE {_REACH}
   SELECT graph_id, a AS id, min(b) AS component FROM reach GROUP BY graph_id, a""",
-    "canvas_pack": """WITH RECURSIVE b AS (SELECT DISTINCT graph_id, edge_key % 40 AS k FROM edges WHERE graph_id IS NOT NULL),
-  s AS (SELECT graph_id, k::VARCHAR AS component, 220 + k * 13 % 700 AS w, 144 + k * 29 % 300 AS h, lpad(k::VARCHAR, 3, '0') AS anchor FROM b),
+    "canvas_boxes": f"""WITH {_MEASURED} SELECT graph_id, id, width, height, color, true AS inside FROM boxes WHERE graph_id IS NOT NULL""",
+    "canvas_link_ends": f"""WITH {_CLEAN} SELECT graph_id, pos, id, source AS from_node, target AS to_node, '#64748b' AS color,
+    CASE WHEN array_to_string(list_filter(regexp_split_to_array(lower(label), '{WS}+'), lambda w: w <> ''), ' ') = array_to_string(list_filter(regexp_split_to_array(lower(replace(type, '_', ' ')), '{WS}+'), lambda w: w <> ''), ' ')
+      THEN label ELSE type END AS label FROM ce WHERE graph_id IS NOT NULL""",
+    "canvas_document_sizes": f"""WITH {_CLEAN}, n AS (SELECT graph_id, count(*) AS n_nodes FROM cn GROUP BY 1), e AS (SELECT graph_id, count(*) AS n_edges FROM ce GROUP BY 1)
+  SELECT graph_id, n_nodes, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN e USING (graph_id) WHERE graph_id IS NOT NULL""",
+    "component_anchor": f"""WITH RECURSIVE {_REACH},
+  named AS (SELECT graph_id, a AS id, min(b) AS component FROM reach GROUP BY graph_id, a)
+  SELECT graph_id, component, id AS anchor FROM named QUALIFY row_number() OVER (PARTITION BY graph_id, component ORDER BY id COLLATE en, id) = 1""",
+    "canvas_pack": f"""WITH RECURSIVE {_REACH}, {_BOXES},
+  named AS (SELECT graph_id, a AS id, min(b) AS component FROM reach GROUP BY graph_id, a),
+  s AS (SELECT graph_id, component, max(width) AS w, sum(height) AS h, md5(component) AS anchor FROM boxes JOIN named USING (graph_id, id) GROUP BY 1, 2),
   t AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY w * h DESC, anchor) AS n,
     greatest(1400, ceil(sqrt(sum(w * h) OVER (PARTITION BY graph_id)) * 1.4) + 240) AS goal FROM s),
   p AS (SELECT graph_id, n, component, 120 AS x, 120 AS y, 120 + w + 240 AS nx, h AS row FROM t WHERE n = 1
