@@ -110,3 +110,11 @@ def test_hot_surname_and_nulls(spark):
     members = nm.entities(spark.createDataFrame(rows, "label string, type string"), tables(spark)[1])
     got = {frozenset((r.label_a, r.label_b)) for r in nm.variant_pairs(members).collect()}
     assert got == {frozenset((f"{g} Smithson", f"Smithson, {g}")) for g in given}
+
+
+def test_pairs_of_an_entity_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nm, "PAIR_BLOCK", 7)
+    labels = [f"l{k:02}" for k in range(30)]
+    members = spark.createDataFrame([(x, "hot", 1) for x in labels] + [("alone", "one", 5)], "label string, entity string, n bigint")
+    got = [(r.label_a, r.label_b) for r in nm.variant_pairs(members).collect()]
+    assert sorted(got) == [(a, b) for a in labels for b in labels if a < b]

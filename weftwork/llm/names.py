@@ -494,18 +494,26 @@ def entities(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
     best = tries.groupBy("kind", "stem", "contexts").agg(F.max_by("entity", F.struct(posterior, "entity")).alias("entity"))
     alone = F.concat_ws("|", "kind", F.array_join("contexts", "/"), "stem", F.lit("?"))
     parts = read.where(~full).join(best, ["kind", "stem", "contexts"], "left").select("label", F.coalesce("entity", alone).alias("entity"), "n")
-    return whole.select("label", "entity", "n").unionByName(parts)
+    return written(whole.select("label", "entity", "n").unionByName(parts), "members")
+
+
+#: Spellings of an entity that one task pairs with all of them.
+PAIR_BLOCK = 500
 
 
 def variant_pairs(members: DataFrame) -> DataFrame:
     """``label_a, label_b``: every pair of spellings of an entity, smaller one first.
 
     Spellings are distinct labels, so a pair occurs once, however often they are
-    written.
+    written. ``canonical_spellings`` says the same without pairs. An entity of many
+    spellings is paired in blocks, so that no task pairs more than ``PAIR_BLOCK`` of
+    them with all; single spellings do not reach the join.
     """
-    left = members.select("entity", F.col("label").alias("label_a"))
-    right = members.select("entity", F.col("label").alias("label_b"))
-    return left.join(right, "entity").where("label_a < label_b").select("label_a", "label_b")
+    sizes = members.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
+    rows = members.select("entity", "label").join(sizes, "entity")
+    left = rows.select("entity", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int").alias("block"), F.col("label").alias("label_a"))
+    right = rows.select("entity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("label").alias("label_b"))
+    return left.join(right, ["entity", "block"]).where("label_a < label_b").select("label_a", "label_b")
 
 
 def canonical_spellings(members: DataFrame) -> DataFrame:
