@@ -1,8 +1,11 @@
 import io
 import json
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from weftwork import cli
+from weftwork.session import discard, written
 from weftwork.sources import files
 from weftwork.sources.providers import RuleProvider
 from weftwork.streaming.extract import flat_result, stream_extract
@@ -84,3 +87,18 @@ def test_cli_canvas_writes_every_item(spark, tmp_path, monkeypatch):
     (tmp_path / "e.json").write_text("{}")
     assert cli.main(["canvas", str(tmp_path / "e.json"), "-o", str(tmp_path / "c.json")]) == 0
     assert json.loads((tmp_path / "c.json").read_text()) == {"nodes": [], "edges": []}
+
+
+def test_stream_drops_documents_sent_again(spark, tmp_path):
+    schema = "doc_id bigint, text string, at timestamp"
+    rows = spark.createDataFrame([(k, f"Alice{k} met Bob") for k in range(6)], "doc_id bigint, text string").withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows.where("doc_id < 3").withColumn("at", F.lit("2024-01-01 01:00:00").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_extract(stream, str(tmp_path / "out"), str(tmp_path / "log"), RuleProvider, time="at").awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(6))
+
+
+def test_discard(spark):
+    kept = written(spark.range(3), "numbers")
+    assert kept.count() == 3 and discard(spark) >= 1 and discard(spark) == 0

@@ -19,7 +19,7 @@ from weftwork.operators.prompt import prompt_column, prompts, schema_column
 from weftwork.session import fresh_folder
 from weftwork.sources.providers import RuleProvider
 from weftwork.sources.tables import table
-from weftwork.streaming.extract import flat_result, stream_extract, stream_folder
+from weftwork.streaming.extract import deduplicated, flat_result, stream_extract, stream_folder, stream_table
 
 BLOCK = 50
 
@@ -279,13 +279,21 @@ def extract_stream(spark, folder):
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
+def stream_first_ids(spark, folder):
+    """Ids of nodes as a stream sees them, each once, with state across batches."""
+    out = fresh_folder(spark, "stream")
+    seen = deduplicated(stream_folder(spark, folder, "nodes", ["graph_id", "id"]).where("id is not null"), ["graph_id", "id"])
+    stream_table(seen, f"{out}/rows", f"{out}/log").awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{out}/rows")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         prompt_requests, empty_input_status, parse_nodes, parse_edges, parse_table_replies, parse_reply_nodes, parse_reply_edges, broken_replies, validate_built, validate_replies,
         validate_errors, validate_warnings, validate_nodes, validate_edges, validate_summary, retry_outcome, usage_totals, response_text, mask_secrets,
         canvas_nodes, canvas_edges, canvas_measure, canvas_edge_labels, canvas_edge_sides, graph_components, component_anchor, canvas_pack,
-        canvas_positions, canvas_links, canvas_documents, canvas_boxes, canvas_link_ends, canvas_document_sizes, extract_documents, extract_stream,
+        canvas_positions, canvas_links, canvas_documents, canvas_boxes, canvas_link_ends, canvas_document_sizes, extract_documents, extract_stream, stream_first_ids,
     )
 } | {
     "prompt_default": _prompt_query(SchemaSpec()),
@@ -525,6 +533,7 @@ ORACLE = {
     coalesce(w, 0)::BIGINT AS n_warnings, coalesce(n.dup, 0) + coalesce(e.dup, 0) = 0 AS valid FROM p LEFT JOIN n USING (rid) LEFT JOIN e USING (rid) WHERE status = 'ok'""",
     "broken_replies": f"WITH {_REPAIRED} SELECT graph_id, attempt, received_at, breaks_off FROM p WHERE raw IS NOT NULL",
     "extract_documents": f"WITH {_EXTRACTED} SELECT * FROM x",
+    "stream_first_ids": "SELECT DISTINCT graph_id, id FROM nodes WHERE id IS NOT NULL",
     "extract_stream": f"WITH {_EXTRACTED} SELECT * FROM x",
     "validate_built": f"""WITH {_BUILT},
   keys AS (SELECT DISTINCT graph_id, block FROM n UNION SELECT DISTINCT graph_id, block FROM e),

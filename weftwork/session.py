@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,10 @@ SETTINGS = {
 }
 
 
+#: Folders of written tables that this process made.
+_MADE: list[str] = []
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what the operators need on a session that may be someone else's."""
     for key, value in SETTINGS.items():
@@ -38,14 +44,29 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="weftwork-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    place = tempfile.mkdtemp(prefix="weftwork-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{place}")
+    return f"file://{place}"
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder name for a written table below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove the written tables that this process made; how many there were.
+
+    For when the results built on them have been stored: operators are lazy beyond
+    these tables, and a result that still reads one fails without it.
+    """
+    removed = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -13,18 +13,31 @@ from weftwork.session import prepare
 from weftwork.sources.providers import Provider
 
 
-def deduplicated(documents: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
-    """One row per ``doc_id`` within the delay; state is kept no longer than that."""
-    return documents.withWatermark(time, delay).dropDuplicatesWithinWatermark(["doc_id"])
+def deduplicated(rows: DataFrame, keys: list[str], time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """One row for each value of ``keys``, across all batches of a stream.
+
+    With a ``time`` column only repeats within the delay are dropped, and state is kept
+    no longer than that; without one the keys are kept for good.
+    """
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys) if time else rows.dropDuplicates(keys)
 
 
 def stream_extract(
-    documents: DataFrame, path: str, checkpoint: str, make: Callable[[], Provider], spec: SchemaSpec | None = None, max_retries: int = MAX_RETRIES, once: bool = True
+    documents: DataFrame,
+    path: str,
+    checkpoint: str,
+    make: Callable[[], Provider],
+    spec: SchemaSpec | None = None,
+    max_retries: int = MAX_RETRIES,
+    once: bool = True,
+    time: str | None = None,
+    delay: str = "1 day",
 ):
     """Write the extraction of a streaming ``doc_id, text`` to Parquet; returns the running query.
 
-    Replies of a batch are written before they are parsed, as in the batch form, and a
-    batch that is repeated after a failure replaces its own folder.
+    With a ``time`` column a document that was sent again within the delay is not asked
+    for again. Replies of a batch are written before they are parsed, as in the batch
+    form, and a batch that is repeated after a failure replaces its own folder.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -32,10 +45,18 @@ def stream_extract(
         found = extract(rows, make, spec, max_retries)
         flat_result(found).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    if time:
+        documents = deduplicated(documents, ["doc_id"], time, delay)
     writer = documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stream_table(rows: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """Append a stream to Parquet; returns the running query."""
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def flat_result(found: DataFrame) -> DataFrame:
     """``doc_id, status, n_nodes, n_edges, n_errors, n_warnings, valid`` of an extraction."""
     v = F.col("validation")
