@@ -34,63 +34,82 @@ def _shown(c: Column) -> Column:
     return F.coalesce(c, F.lit("undefined"))
 
 
+def _with(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; within a lambda it would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _id_errors(rows: Column, what: str, dump) -> Column:
-    """One error for each item without id and each repeat of an id, in order."""
-    ids = F.transform(rows, lambda r: r["id"])
+    """One error for each item without id and each repeat of an id, in order.
+
+    Ids that are all different, as most are, cost one pass with a hash set.
+    """
+
+    def found(ids, repeats):
+        def find(row, i):
+            missing = F.array(_error(f"missing_{what}_id", F.concat(F.lit(f"{what.capitalize()} missing id: "), dump(row))))
+            # sizes are Column arithmetic: array_position is 1-based and gives the first place
+            repeat = F.array(_error("duplicate_id", F.concat(F.lit(f"Duplicate {what} id: "), row["id"])))
+            none = F.array().cast(f"array<{ERROR.simpleString()}>")
+            unnamed = F.when(~_named(row["id"]), missing)
+            return unnamed.when(F.array_position(ids, row["id"]) <= i, repeat).otherwise(none) if repeats else unnamed.otherwise(none)
 
-    def find(row, i):
-        missing = F.array(_error(f"missing_{what}_id", F.concat(F.lit(f"{what.capitalize()} missing id: "), dump(row))))
-        # sizes are Column arithmetic: array_position is 1-based and gives the first place
-        repeat = F.array(_error("duplicate_id", F.concat(F.lit(f"Duplicate {what} id: "), row["id"])))
-        none = F.array().cast(f"array<{ERROR.simpleString()}>")
-        return F.when(~_named(row["id"]), missing).when(F.array_position(ids, row["id"]) <= i, repeat).otherwise(none)
+        return F.flatten(F.transform(rows, find))
 
-    return F.flatten(F.transform(rows, find))
+    return _with(F.transform(rows, lambda r: r["id"]), lambda ids: F.when(F.size(F.array_distinct(ids)) == F.size(ids), found(ids, False)).otherwise(found(ids, True)))
 
 
 def validate_column(graph: Column) -> Column:
     """``valid, errors, warnings, graph`` of a graph struct; null for a null graph.
 
-    Null lists count as empty. Membership is tested against an array of ids, which
-    suits graphs of up to about a thousand nodes; larger ones belong to
-    ``validate_flat``.
+    Null lists count as empty. Ends without a node are found by a hash set of the ids;
+    edges are compared with those, so the cost grows with edges times dangling ends,
+    and where ids repeat with the square of the items. Graphs of many thousand nodes
+    belong to the ``flat_*`` functions.
     """
     nodes = F.filter(F.coalesce(graph["nodes"], F.array()), lambda n: n.isNotNull())
     edges = F.filter(F.coalesce(graph["edges"], F.array()), lambda e: e.isNotNull())
     kept = F.filter(nodes, lambda n: _named(n["id"]))
-    known = F.array_distinct(F.transform(kept, lambda n: n["id"]))
-
-    def present(end):
-        return F.coalesce(F.array_contains(known, end), F.lit(False))
-
     candidates = F.filter(edges, lambda e: _named(e["id"]))
+    ends = F.concat(F.transform(candidates, lambda e: e["source"]), F.transform(candidates, lambda e: e["target"]))
+    dangling = F.array_except(ends, F.transform(kept, lambda n: n["id"]))
+
+    def present(lost, end):
+        return end.isNotNull() & ~F.coalesce(F.array_contains(lost, end), F.lit(False))
 
-    def warn(e):
+    def warn(lost, e):
         label = F.concat(F.lit("Edge "), e["id"])
         found = F.array(
             *(
                 F.when(
-                    ~present(e[end]),
+                    ~present(lost, e[end]),
                     _warning(f"invalid_edge_{end}", F.concat(label, F.lit(f" references non-existent {end}: "), _shown(e[end])), e["id"], _map(end, e[end])),
                 )
                 for end in ("source", "target")
             ),
             F.when(
-                ~present(e["source"]) | ~present(e["target"]),
+                ~present(lost, e["source"]) | ~present(lost, e["target"]),
                 _warning("removed_edge", F.concat(F.lit("Removed invalid edge: "), e["id"]), e["id"], F.lit(None).cast("map<string,string>")),
             ),
         )
         return F.filter(found, lambda w: w.isNotNull())
 
     errors = F.concat(_id_errors(nodes, "node", F.to_json), _id_errors(edges, "edge", F.to_json))
-    good = F.filter(candidates, lambda e: present(e["source"]) & present(e["target"]))
-    result = F.struct(
-        (F.size(errors) == 0).alias("valid"),
-        errors.alias("errors"),
-        F.flatten(F.transform(candidates, warn)).alias("warnings"),
-        F.struct(kept.alias("nodes"), good.alias("edges")).alias("graph"),
-    )
-    return F.when(graph.isNotNull(), result)
+
+    def judged(lost):
+        good = F.filter(candidates, lambda e: present(lost, e["source"]) & present(lost, e["target"]))
+        warnings = F.when(F.size(lost) == 0, F.array().cast(f"array<{WARNING.simpleString()}>")).otherwise(F.flatten(F.transform(candidates, lambda e: warn(lost, e))))
+        return F.struct(good.alias("good"), warnings.alias("warnings"))
+
+    def result(errors, edges):
+        return F.struct(
+            (F.size(errors) == 0).alias("valid"),
+            errors.alias("errors"),
+            edges["warnings"].alias("warnings"),
+            F.struct(kept.alias("nodes"), edges["good"].alias("edges")).alias("graph"),
+        )
+
+    return F.when(graph.isNotNull(), _with(F.struct(errors.alias("e"), _with(dangling, judged).alias("j")), lambda x: result(x["e"], x["j"])))
 
 
 def validate_graphs(df: DataFrame, graph: str = "graph") -> DataFrame:
