@@ -16,7 +16,7 @@ from weftwork.operators.parse import parse_replies, parse_value
 from weftwork.operators.prompt import prompt_column, schema_column
 from weftwork.operators.repair import truncated_column, with_repaired
 from weftwork.operators.validate import validate_column
-from weftwork.session import written
+from weftwork.session import spread, written
 from weftwork.sources.providers import Provider, call
 
 _CALLED = "doc_id bigint, status string, error string, raw string, finish_reason string, attempts int, prompt_tokens bigint, completion_tokens bigint"
@@ -47,7 +47,7 @@ def call_provider(documents: DataFrame, make: Callable[[], Provider], spec: Sche
 
     Blank texts are filtered before, since nothing pushes a filter through Python.
     """
-    asked = documents.where(input_status(F.col("text")) == "ok").select("doc_id", prompt_column(F.col("text"), schema_column(spec)).alias("prompt"))
+    asked = spread(documents.select("doc_id", "text")).where(input_status(F.col("text")) == "ok").select("doc_id", prompt_column(F.col("text"), schema_column(spec)).alias("prompt"))
 
     def ask(batches):
         provider = make()

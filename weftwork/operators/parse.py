@@ -9,6 +9,7 @@ from weftwork.functions.text import humanize
 from weftwork.functions.variants import field, is_object, is_string, items, js_string, kind
 from weftwork.model import EDGE, NODE
 from weftwork.operators.repair import with_repaired
+from weftwork.session import spread
 
 
 def _text_or(value: Column, default: Column) -> Column:
@@ -69,8 +70,6 @@ def parse_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
     several expressions, so it is a column of its own.
     """
     kept = [c for c in replies.columns if c not in ("status", "error", "graph")]
-    read = with_repaired(replies.select(*(F.col(f"`{c}`") for c in kept)), raw, "__text").withColumn("__v", F.try_parse_json("__text"))
+    read = with_repaired(spread(replies.select(*(F.col(f"`{c}`") for c in kept))), raw, "__text").withColumn("__v", F.try_parse_json("__text"))
     parsed = read.withColumn("__p", parse_value(F.col("__v")))
     return parsed.select(*(F.col(f"`{c}`") for c in kept), "__p.status", "__p.error", "__p.graph")
-
-

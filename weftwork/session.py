@@ -77,6 +77,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, where a scan gives fewer.
+
+    A small table of one row group would keep one core busy with work that costs far
+    more than moving it. Larger tables come in more pieces than cores and stay as they
+    are; so does anything but a plain scan, whose plan is not known before it runs.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared folder and read back, for results that several branches read."""
     spark = df.sparkSession
