@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import has_text, js_trim
+from weftwork.session import spread
 
 RUN = 5
 SHARE = 0.4
@@ -187,7 +188,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, share: float =
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_chars))
     schema = "doc_id bigint, item_id bigint, n_words int, n_covered int, start_at int, end_at int"
-    posts = documents.select("doc_id", "text").where("text is not null")
+    posts = spread(documents.select("doc_id", "text").where("text is not null"))
     found = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about block_chars characters

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.splitting import pieces
-from weftwork.session import written
+from weftwork.session import spread, written
 
 CAPACITY = 2048
 #: Fixed value: how the byte-level vocabularies of 50,000 tokens cut a text before they merge bytes.
@@ -86,7 +86,7 @@ def token_items(documents: DataFrame, path: str, capacity: int = CAPACITY) -> Da
             rows = [(doc_id, k, *piece) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True) for k, piece in enumerate(token_pieces(text or "", capacity, model))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "start_at", "end_at", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInPandas(measure, ITEMS)
+    return spread(documents.select("doc_id", "text")).mapInPandas(measure, ITEMS)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.linestats import line_table, word_hash
-from weftwork.session import fresh_folder
+from weftwork.session import fresh_folder, spread
 
 #: Thresholds of the published rules, as (reason, SQL condition of failure).
 #: Word count, mean word length, symbols to words, bullets, words with a letter and stop
@@ -78,8 +78,7 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
     bare = F.transform("words", lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     return (
-        documents.select("doc_id", "text")
-        .where("text is not null")
+        spread(documents.select("doc_id", "text").where("text is not null"))
         .withColumns({"words": words, "lines": lines})
         .withColumn("bare", bare)
         .select(
@@ -225,7 +224,7 @@ def measures(documents: DataFrame, common_words: DataFrame) -> DataFrame:
                     seen[v] = seen.get(v, 0) + c
             yield pd.DataFrame({"what": _SEEN, "pair": list(seen), "n": list(seen.values())}).reindex(columns=names)
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(read, _MEASURES)
+    return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(read, _MEASURES)
 
 
 def kinds_of_text(documents: DataFrame, common_words: DataFrame, share: float = PAIR_SHARE, least: int = LEAST_DOCS) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from weftwork.session import spread
+
 #: Kinds of boundaries, best first.
 KINDS = ("paragraph", "line", "sentence", "word")
 _FIND = {
@@ -122,5 +124,5 @@ def split_texts(requests: DataFrame) -> DataFrame:
                     rows += [(key, k, a, b, cut, text[a:b]) for k, (a, b, cut) in enumerate(pieces(text, limit, overlap))]
             yield pd.DataFrame(rows, columns=columns)
 
-    source = requests.select("request_id", "text", "max_chars", "overlap_chars").where("text is not null")
+    source = spread(requests.select("request_id", "text", "max_chars", "overlap_chars").where("text is not null"))
     return source.mapInPandas(split, "request_id bigint, piece_no int, start_at int, end_at int, cut string, text string")

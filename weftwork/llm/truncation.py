@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.operators.repair import first_bracket, scan
-from weftwork.session import cut_lineage, written
+from weftwork.session import cut_lineage, spread, written
 
 #: What is put behind a cut: blanks, lost characters, ellipses, one word in brackets that is no value.
 _MARKS = re.compile(r"(?:\s|�|…|\.\.\.|\[(?!(?:null|true|false)\])[a-z]{3,20}\])+$")
@@ -136,7 +136,7 @@ def endings(replies: DataFrame) -> DataFrame:
     def read(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([ending(r) for r in raw], columns=["state", "head", "json", "remark"])
 
-    rows = replies.select("graph_id", "attempt", "provider", "model", "raw").where("raw is not null").withColumn("e", read("raw"))
+    rows = spread(replies.select("graph_id", "attempt", "provider", "model", "raw").where("raw is not null")).withColumn("e", read("raw"))
     return rows.select("graph_id", "attempt", "provider", "model", "e.state", "e.head", "e.json", F.regexp_replace("e.remark", "[0-9]+", "0").alias("remark"))
 
 
