@@ -2,6 +2,10 @@
 
 Findings keep the order: errors of nodes by position, then of edges; warnings by
 edge, source before target before removal. Ids are unique within a graph only.
+
+Fixed values, here and in the flat form: the names of findings (``missing_node_id``,
+``missing_edge_id``, ``duplicate_id``, ``invalid_edge_source``, ``invalid_edge_target``,
+``removed_edge``) and the wording of their messages.
 """
 
 from __future__ import annotations
