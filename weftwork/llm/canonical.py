@@ -67,11 +67,11 @@ def allowed(length: int) -> int:
 
 def remains(word: str, edits: int) -> set[str]:
     """The word without up to ``edits`` of its characters."""
-    out = {word}
-    last = out
-    for _ in range(edits):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out |= last
+    cuts = [word[:i] + word[i + 1 :] for i in range(len(word))]
+    out = {word, *cuts} if edits else {word}
+    if edits == 2:
+        # the second character to go stands behind the first
+        out.update(cut[:j] + cut[j + 1 :] for i, cut in enumerate(cuts) for j in range(i, len(cut)))
     return out
 
 

@@ -122,20 +122,28 @@ for _name, _forms in GIVEN.items():
         _SHORT.setdefault(_form, []).append(_name)
 
 
+_CAMEL = re.compile(r"(?<=[^\W\d_A-Z][^\W\d_A-Z])(?=[A-Z][a-z])")
+_REMARK = re.compile(r"\([^)]*\)|\[[^\]]*\]|[\"“”„][^\"“”„]*[\"“”„]")
+_INITIAL_DOT = re.compile(r"(?<![^\W_]{2})(?<=[^\W_])\.(?=[^\W_](?:\.|\b))")
+_APOSTROPHE = re.compile(r"(?<=[^\W_])['’`](?=[^\W_])")
+_WORDS = re.compile(r"[^\W_]+")
+
+
 def fold(text: str) -> str:
     """Lower case without accents; words run together in camel case come apart."""
-    text = unicodedata.normalize("NFKC", text)
-    text = re.sub(r"(?<=[^\W\d_A-Z][^\W\d_A-Z])(?=[A-Z][a-z])", " ", text)
+    if text.isascii():
+        return _CAMEL.sub(" ", text).lower()
+    text = _CAMEL.sub(" ", unicodedata.normalize("NFKC", text))
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return plain.casefold().translate({0xF8: "o", 0x142: "l", 0xE6: "ae", 0x153: "oe", 0x111: "d", 0x131: "i"})
 
 
 def tokens(label: str) -> list[str]:
     """Words of a name without remarks in brackets, pet names in quotes and dots within initials."""
-    text = re.sub(r"\([^)]*\)|\[[^\]]*\]|[\"“”„][^\"“”„]*[\"“”„]", " ", fold(label))
-    text = re.sub(r"(?<![^\W_]{2})(?<=[^\W_])\.(?=[^\W_](?:\.|\b))", "", text)
-    text = re.sub(r"(?<=[^\W_])['’`](?=[^\W_])", "", text)
-    return re.findall(r"[^\W_]+", text)
+    text = _REMARK.sub(" ", fold(label))
+    if "." in text:
+        text = _INITIAL_DOT.sub("", text)
+    return _WORDS.findall(_APOSTROPHE.sub("", text))
 
 
 def _skeleton_of(word: str, name: str) -> bool:
