@@ -403,18 +403,19 @@ def _remains(word):
 def _strangers(keys: DataFrame, close: DataFrame) -> dict[str, float]:
     """For each kind the logarithm of the odds that a close profile of the same context is a stranger.
 
-    ``keys``: ``kind, context, stem, rest``; ``close``: pairs of profiles with ``kind``.
+    ``keys``: ``kind, context, stem, near``; ``close``: pairs of profiles with ``kind``.
     Stems that are close in different contexts are strangers; as many per pair of
     profiles are expected within a context. One row a kind reaches the driver.
     """
-    alike = keys.select("kind", "stem", "rest").distinct().groupBy("kind", "rest").agg(F.count("*").alias("d")).where("d > 1")
-    pairs = {r.kind: float(r.t) for r in alike.groupBy("kind").agg(F.sum(F.col("d") * (F.col("d") - 1)).alias("t")).collect()}
-    contexts = {r.kind: r.c for r in keys.groupBy("kind").agg(F.countDistinct("context").alias("c")).collect()}
-    within = {r.kind: r.w for r in close.groupBy("kind").agg(F.count("*").alias("w")).collect()}
+    alike = keys.select("kind", "stem", "near").distinct().groupBy("kind", "near").agg(F.count("*").alias("d")).where("d > 1")
+    pairs = alike.groupBy("kind").agg(F.sum(F.col("d") * (F.col("d") - 1)).alias("t"))
+    contexts = keys.groupBy("kind").agg(F.count_distinct("context").alias("c"))
+    within = close.groupBy("kind").agg(F.count("*").alias("w"))
+    rows = within.join(contexts, "kind").join(pairs, "kind", "left").collect()
     out = {}
-    for kind, w in within.items():
-        strange = max(pairs.get(kind, 0.0) - w, 0.0) / max(contexts[kind] - 1, 1)
-        out[kind] = math.log((strange + 0.01) / (max(w - strange, 0.0) + 0.01))
+    for r in rows:
+        strange = max((r.t or 0) - r.w, 0) / max(r.c - 1, 1)
+        out[r.kind] = math.log((strange + 0.01) / (max(r.w - strange, 0) + 0.01))
     return out
 
 
@@ -455,20 +456,22 @@ def entities(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
         .withColumn("profile", profile)
     )
     profiles = written(profiles, "profiles")
-    keys = written(profiles.select("kind", "context", "stem", "n", "profile", _remains(F.col("stem")).alias("rest")), "keys")
-    # by stem within a context, and by context with the same stem
-    columns = ["kind", "profile", "n", "c_profile", "c_n", "said", "c_said"]
-
-    def candidates(mine, on, said):
-        theirs = mine.select(*on, F.col("n").alias("c_n"), F.col("profile").alias("c_profile"), F.col(said).alias("c_said"))
-        return mine.join(theirs, on).where("profile <> c_profile").select("kind", "profile", "n", "c_profile", "c_n", F.col(said).alias("said"), "c_said").distinct()
-
-    by_stem = candidates(keys, ["kind", "context", "rest"], "stem")
-    by_context = candidates(profiles.withColumn("rest", _remains(F.col("context"))), ["kind", "stem", "rest"], "context")
+    # candidates by stem within a context, and by context with the same stem; keys are hashes, the costs sort out what they mix up
+    rests = profiles.select("kind", "context", "stem", "profile", _remains(F.col("stem")).alias("rest"))
+    keys = written(rests.select("kind", "context", "profile", "stem", F.xxhash64("kind", "rest").alias("near"), F.xxhash64("kind", "context", "rest").alias("key")), "keys")
+    said = profiles.select("profile", "kind", "context", "stem", "n")
+
+    def candidates(mine):
+        pairs = mine.select("key", "profile").join(mine.select("key", F.col("profile").alias("c_profile")), "key").where("profile <> c_profile").select("profile", "c_profile").distinct()
+        theirs = said.select(F.col("profile").alias("c_profile"), F.col("context").alias("c_context"), F.col("stem").alias("c_stem"), F.col("n").alias("c_n"))
+        return pairs.join(said, "profile").join(theirs, "c_profile")
+
+    by_stem = candidates(keys).where("context = c_context").withColumn("cost", _cost("c_stem", "stem")).where(F.col("cost") <= EDIT)
+    by_context = candidates(profiles.withColumn("rest", _remains(F.col("context"))).withColumn("key", F.xxhash64("kind", "stem", "rest")))
     # a context one whole edit away is another name, unless it is long and begins alike
-    alike = (F.length("said") >= 7) & (F.substring("said", 1, 1) == F.substring("c_said", 1, 1))
-    by_context = by_context.withColumn("cost", _cost("c_said", "said")).where((F.col("cost") < EDIT) | ((F.col("cost") <= EDIT) & alike))
-    close = written(by_stem.withColumn("cost", _cost("c_said", "said")).where(F.col("cost") <= EDIT).unionByName(by_context).select(*columns, "cost"), "close")
+    alike = (F.length("context") >= 7) & (F.substring("context", 1, 1) == F.substring("c_context", 1, 1))
+    by_context = by_context.where("stem = c_stem").withColumn("cost", _cost("c_context", "context")).where((F.col("cost") < EDIT) | ((F.col("cost") <= EDIT) & alike))
+    close = written(by_stem.unionByName(by_context).select("kind", "profile", "n", "c_profile", "c_n", "cost"), "close")
     odds = _odds(F.col("kind"), _strangers(keys, close))
     posterior = F.log(F.col("c_n") / (F.col("c_n") + 1)) + PENALTY * (EDIT - F.col("cost"))
     links = close.where(posterior > odds).groupBy("profile").agg(F.max_by("c_profile", F.struct(F.log("c_n") - PENALTY * F.col("cost"), "c_profile")).alias("c_profile"))
@@ -486,16 +489,18 @@ def entities(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
     asked = partial.select("kind", "stem", "contexts", wanted.alias("wanted"))
     star = F.endswith(F.col("wanted"), F.lit("*"))
     asked = asked.select(
-        "kind", "stem", "contexts", F.when(star, F.regexp_replace("wanted", r"\*$", "")).alias("head"),
+        "kind", "stem", "contexts", "wanted", F.when(star, F.regexp_replace("wanted", r"\*$", "")).alias("head"),
         F.when(star & (F.length("wanted") > 1), F.concat(F.substring("wanted", 1, 1), F.lit("*"))).otherwise(F.col("wanted")).alias("context"),
         _remains(F.col("stem")).alias("rest"),
-    )
+    ).withColumn("key", F.xxhash64("kind", "context", "rest"))
     prior = named.groupBy("entity").agg(F.sum("n").alias("prior"))
     ways = F.array(F.col("context"), F.concat(F.substring("context", 1, 1), F.lit("*")), F.lit("*"))
     spelt_as = named.select("kind", F.col("context").alias("c_context"), F.explode(ways).alias("context"), F.col("stem").alias("c_stem"), "entity").distinct()
     offered = spelt_as.select("kind", "context", "c_context", "c_stem", "entity", _remains(F.col("c_stem")).alias("rest"))
-    fits = F.col("head").isNull() | F.startswith(F.col("c_context"), F.col("head"))
-    tries = asked.join(offered, ["kind", "context", "rest"]).where(fits).select("kind", "stem", "contexts", "c_stem", "entity").distinct()
+    offered = offered.select(F.xxhash64("kind", "context", "rest").alias("key"), F.col("kind").alias("c_kind"), "c_context", "c_stem", "entity")
+    fits = F.when(F.col("head").isNull(), F.col("c_context") == F.col("wanted")).otherwise(F.startswith(F.col("c_context"), F.col("head")))
+    of_kind = F.col("kind") == F.col("c_kind")
+    tries = asked.drop("context", "rest").join(offered, "key").where(of_kind & fits).select("kind", "stem", "contexts", "c_stem", "entity").distinct()
     tries = tries.withColumn("cost", _cost("c_stem", "stem")).where(F.col("cost") <= EDIT).join(prior, "entity")
     tries = tries.where((F.col("cost") == 0) | (PENALTY * (EDIT - F.col("cost")) > odds))
     posterior = F.log("prior") - PENALTY * F.col("cost")
