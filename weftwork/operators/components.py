@@ -1,9 +1,9 @@
 """Connected components of one large undirected graph.
 
-Every vertex takes the smallest label among its neighbours, then the label of its
-label (pointer jumping), until nothing changes; labels only fall, and long paths
-halve each round. Neighbour labels are aggregated with partial minima, so a hub is
-never collected. Each round is written into the shared folder.
+Every vertex takes the smallest label among its neighbours, with it goes the tree of
+vertices that shared its label, and labels take the label of their label (pointer
+jumping), until nothing changes; labels only fall, and trees merge each round. Labels
+are aggregated with partial minima, so neither a hub nor a tree is ever collected. Each round is written into the shared folder.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             .groupBy(F.col("src").alias("vertex"))
             .agg(F.min("theirs").alias("theirs"))
         )
-        hooked = labels.join(near, "vertex").select("vertex", F.col("component").alias("old"), F.least("component", "theirs").alias("component"))
-        # a label that is its own root needs no lookup, so the vertices of a giant component meet no hot key
-        roots = labels.where("vertex <> component").select(F.col("vertex").alias("component"), F.col("component").alias("root"))
-        hooked = written(hooked.join(roots, "component", "left").select("vertex", "old", F.least("component", "root").alias("component")), "labels")
+        seen = labels.join(near, "vertex").select("vertex", "component", F.least("component", "theirs").alias("theirs"))
+        # a whole tree moves where any of its vertices sees a smaller label; labels that are their own root and see
+        # none need no lookup, so the vertices of a giant component meet no hot key once it is one
+        moved = seen.where("theirs < component").select("component", F.col("theirs").alias("root"))
+        jumps = labels.where("vertex <> component").select(F.col("vertex").alias("component"), F.col("component").alias("root"))
+        roots = moved.unionByName(jumps).groupBy("component").agg(F.min("root").alias("root"))
+        hooked = written(seen.join(roots, "component", "left").select("vertex", F.col("component").alias("old"), F.least("theirs", "root").alias("component")), "labels")
         labels = hooked.select("vertex", "component")
         if hooked.where("old <> component").isEmpty():
             return labels
