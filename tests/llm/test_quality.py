@@ -123,3 +123,12 @@ def test_salad_and_its_copies(spark):
     docs, words = frames(spark, prose + loose + copies)
     found = {r.doc_id for r in q.not_prose(q.kinds_of_text(docs, words)).collect()}
     assert found == set(range(len(prose) + len(loose), len(prose) + len(loose) + len(copies)))
+
+
+def test_one_very_long_word_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(q, "TOGETHER", 50)
+    texts = ["Nice tone arm!", "", "x" * 3_000_000, "a b " * 20_000, *PROSE, *OTHER]
+    docs, words = frames(spark, texts)
+    rows = {r.doc_id: r for r in q.kinds_of_text(docs, words).collect()}
+    assert len(rows) == len(texts) and rows[2].other_kind == "encoded" and rows[3].other_kind == "repeats" and rows[0].n_other == 0
+    assert rows[2].n_other == 3_000_000

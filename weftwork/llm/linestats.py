@@ -97,14 +97,14 @@ def _sums(flags: np.ndarray) -> np.ndarray:
 
 
 def _hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    out = (ends - starts).astype(np.uint64)
-    longest = int(out.max()) if len(out) else 0
-    live = np.arange(len(starts))
-    for k in range(longest):
-        live = live[ends[live] - starts[live] > k]
-        out[live] = out[live] * np.uint64(0x9E3779B97F4A7C15) + codes[starts[live] + k].astype(np.uint64)
-    return out
+    """A 64-bit hash of each word, a polynomial of its characters; the work follows the characters, however long a word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    return np.add.reduceat(codes[np.repeat(starts, sizes) + place].astype(np.uint64) * powers[place], before) + sizes.astype(np.uint64)
 
 
 def word_hash(word: str) -> int:

@@ -137,8 +137,8 @@ LEAST_PAIRS = 11
 KNOWN_SHARE = 0.3
 #: Texts that know fewer pairs in all are too few to say what forms sentences.
 ENOUGH_PAIRS = 200
-#: Texts of a batch that are measured together, so that the arrays stay in the cache.
-TOGETHER = 512
+#: Characters of the texts that are measured together, so that the arrays stay small; a longer text is measured alone.
+TOGETHER = 400_000
 
 
 def measured(texts: list[str], common: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -180,6 +180,9 @@ def measured(texts: list[str], common: np.ndarray) -> tuple[pd.DataFrame, np.nda
     return out, pair_text, pairs
 
 
+#: Pairs whose counts a task holds before it passes them on.
+HELD_PAIRS = 500_000
+
 _MEASURES = "what int, doc_id bigint, key bigint, pair bigint, n bigint, " + ", ".join(f"{c} bigint" for c in ("prose", *REASONS))
 _TEXTS, _ASKED, _SEEN = range(3)
 
@@ -193,17 +196,22 @@ def measures(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
     ``_TEXTS``: a row for each text with its characters by rule, and ``key``, a hash of
     the text, if it is loose. ``_ASKED``: ``key, pair`` of the loose texts, equal texts
-    of a batch once. ``_SEEN``: ``pair, n``, in how many of the other texts of a batch a
-    pair stands, so that no loose text, however often copied, makes its own pairs known.
+    of a batch once. ``_SEEN``: ``pair, n``, in how many of some other texts a pair
+    stands, so that no loose text, however often copied, makes its own pairs known.
     """
     listed = np.array(sorted(word_hash(w) for w in listed_words(common_words)), np.uint64)
     names = [c.split()[0] for c in _MEASURES.split(", ")]
 
+    def told(seen: dict[int, int]) -> pd.DataFrame:
+        return pd.DataFrame({"what": _SEEN, "pair": list(seen), "n": list(seen.values())}).reindex(columns=names)
+
     def read(batches):
+        seen: dict[int, int] = {}
         for batch in batches:
-            seen: dict[int, int] = {}
-            for low in range(0, len(batch), TOGETHER):
-                part = batch.iloc[low : low + TOGETHER]
+            # texts are grouped by where the running sum of their lengths stands
+            lengths = batch["text"].str.len().to_numpy()
+            group = (np.cumsum(lengths) - 1) // TOGETHER
+            for _, part in batch.groupby(np.maximum(group, 0), sort=False):
                 texts = part["text"].tolist()
                 rows, at, pairs = measured(texts, listed)
                 loose = rows.pop("loose").to_numpy()
@@ -222,7 +230,10 @@ def measures(documents: DataFrame, common_words: DataFrame) -> DataFrame:
                 values, counts = np.unique(p[fresh], return_counts=True)
                 for v, c in zip(values.tolist(), counts.tolist(), strict=True):
                     seen[v] = seen.get(v, 0) + c
-            yield pd.DataFrame({"what": _SEEN, "pair": list(seen), "n": list(seen.values())}).reindex(columns=names)
+                if len(seen) > HELD_PAIRS:
+                    yield told(seen)
+                    seen = {}
+        yield told(seen)
 
     return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(read, _MEASURES)
 
