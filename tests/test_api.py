@@ -64,6 +64,20 @@ def test_single_values(spark):
     assert "TEXT:\nhello\n" in weftwork.build_prompt("hello")
 
 
+@pytest.mark.parametrize(
+    "graph",
+    [
+        {"nodes": [{"id": 1}, {"id": "1"}, {"id": True}, {"id": {}}, {"id": 0}, {}, 7], "edges": [{"id": "a", "source": 1, "target": True}, {"id": "b", "source": 2, "target": 1}, {"id": "c", "source": 1.0, "target": "1"}, {"source": 1, "target": 1}]},
+        {"nodes": [{"id": "x", "metadata": {"k": 1}}, {"id": "x"}], "edges": [{"id": "e", "source": "x", "target": "x"}, {"id": "f", "source": "x", "target": None}]},
+        {"nodes": None}, [], {},
+    ],
+)
+def test_validated_graph_has_as_many_items_as_the_report(spark, graph):
+    report = weftwork.validate(graph)
+    assert (len(report["graph"]["nodes"]), len(report["graph"]["edges"])) == (report["n_nodes"], report["n_edges"])
+    assert all(n in graph["nodes"] for n in report["graph"]["nodes"])
+
+
 @pytest.mark.parametrize("raw", ['{"nodes": [{"id": "a"}]}', '{"nodes": [{"id": "\\ud800"}]}', "[" * 1100 + "]" * 1100, '{"a": 1e999}', "no graph"])
 def test_status_is_the_parsers(spark, raw):
     """A reply that the call loop takes and the parser refuses is a parse error, never an ok without a graph."""

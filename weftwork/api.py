@@ -90,10 +90,27 @@ def parse_graph(raw: str) -> dict[str, Any]:
     return json.loads(row.g)
 
 
+def _identity(value: Any) -> Any:
+    """What an id is compared by; None for what is no id. Ids of different kinds differ, lists and objects equal nothing."""
+    if isinstance(value, (dict, list)):
+        return object()
+    if not value:
+        return None
+    return ("number", float(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else (type(value), value)
+
+
 def validate(graph: Any) -> dict[str, Any]:
-    """``valid, errors, warnings, n_nodes, n_edges`` of one graph as it stands, ids of any kind."""
+    """``valid, errors, warnings, n_nodes, n_edges, graph`` of one graph as it stands, ids of any kind.
+
+    The ``graph`` holds, as they were, the nodes with an id and the edges with an id and
+    both ends among them.
+    """
     value = _session().createDataFrame([(json.dumps(graph),)], "raw string").select(F.try_parse_json("raw").alias("value"))
-    return json.loads(validate_raw(value, "value").select(F.to_json("report").alias("r")).first().r)
+    report = json.loads(validate_raw(value, "value").select(F.to_json("report").alias("r")).first().r)
+    lists = {n: graph.get(n) if isinstance(graph, dict) else None for n in ("nodes", "edges")}
+    nodes, edges = ([x for x in (v if isinstance(v, list) else []) if isinstance(x, dict) and _identity(x.get("id")) is not None] for v in lists.values())
+    known = {_identity(n["id"]) for n in nodes}
+    return report | {"graph": {"nodes": nodes, "edges": [e for e in edges if _identity(e.get("source")) in known and _identity(e.get("target")) in known]}}
 
 
 def to_canvas(nodes: DataFrame, edges: DataFrame, options: cv.CanvasOptions | None = None) -> DataFrame:
