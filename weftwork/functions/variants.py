@@ -6,17 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, VOID (JSON null) or a number type; null where there is no value."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+def _is(v: Column, name: str) -> Column:
+    """Whether the schema of a value begins with a name; false where there is no value."""
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(name)), F.lit(False))
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    return _is(v, "OBJECT")
+
+
+def is_array(v: Column) -> Column:
+    return _is(v, "ARRAY")
 
 
 def is_string(v: Column) -> Column:
-    return F.coalesce(kind(v) == "STRING", F.lit(False))
+    return _is(v, "STRING")
 
 
 def is_present(v: Column) -> Column:
@@ -42,10 +46,10 @@ def js_string(v: Column, depth: int = 3) -> Column:
     """
     text = F.try_variant_get(v, "$", "string")
     # strings first: most values are, and the branches behind are tried in order
-    choice = F.when(is_string(v), text).when(~is_present(v), F.lit(None).cast("string")).when(kind(v) == "OBJECT", "[object Object]").when(kind(v) == "DOUBLE", _double_text(v))
+    choice = F.when(is_string(v), text).when(~is_present(v), F.lit(None).cast("string")).when(is_object(v), "[object Object]").when(_is(v, "DOUBLE"), _double_text(v))
     if depth:
         items = F.try_variant_get(v, "$", "array<variant>")
-        choice = choice.when(kind(v) == "ARRAY", F.array_join(F.transform(items, lambda x: F.coalesce(js_string(x, depth - 1), F.lit(""))), ","))
+        choice = choice.when(is_array(v), F.array_join(F.transform(items, lambda x: F.coalesce(js_string(x, depth - 1), F.lit(""))), ","))
     return choice.otherwise(text)
 
 

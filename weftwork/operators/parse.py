@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import humanize
-from weftwork.functions.variants import field, is_object, is_string, items, js_string, kind
+from weftwork.functions.variants import field, is_array, is_object, is_string, items, js_string
 from weftwork.model import EDGE, NODE
 from weftwork.operators.repair import with_repaired
 from weftwork.session import spread
@@ -22,7 +22,7 @@ def _fields(values: Column, names: tuple[str, ...]) -> Column:
 
 
 def _metadata(value: Column) -> Column:
-    return F.when(kind(value).isin("OBJECT", "ARRAY"), value).alias("metadata")
+    return F.when(is_object(value) | is_array(value), value).alias("metadata")
 
 
 def parse_nodes(values: Column) -> Column:
@@ -55,7 +55,7 @@ def parse_value(v: Column) -> Column:
     Status ``ok`` or ``parse_error``; a root array is an empty graph, other roots
     that are no object are errors.
     """
-    ok = F.coalesce(kind(v).isin("OBJECT", "ARRAY"), F.lit(False))
+    ok = is_object(v) | is_array(v)
     return F.struct(
         F.when(ok, "ok").otherwise("parse_error").alias("status"),
         F.when(v.isNull(), "Failed to parse JSON").when(~ok, "Response is not a JSON object").alias("error"),
