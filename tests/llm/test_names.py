@@ -1,6 +1,8 @@
 import pytest
 
 from weftwork.llm import names as nm
+from weftwork.operators import components
+from weftwork.session import written
 
 VOCAB = [("node", "person", ["human"]), ("node", "organization", ["company"]), ("node", "location", []), ("node", "event", [])]
 
@@ -118,3 +120,20 @@ def test_pairs_of_an_entity_in_blocks(spark, monkeypatch):
     members = spark.createDataFrame([(x, "hot", 1) for x in labels] + [("alone", "one", 5)], "label string, entity string, n bigint")
     got = [(r.label_a, r.label_b) for r in nm.variant_pairs(members).collect()]
     assert sorted(got) == [(a, b) for a in labels for b in labels if a < b]
+
+
+def test_no_broadcast_of_what_grows(spark, monkeypatch):
+    """Tables that grow with the input are not built in the memory of the driver, however small Spark takes them for."""
+    plans = []
+
+    def watched(df, name="result"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(nm, "written", watched)
+    monkeypatch.setattr(components, "written", watched)
+    members = nm.entities(*tables(spark))
+    for result in (nm.variant_pairs(members), nm.canonical_spellings(members)):
+        watched(result)
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not [p for p in plans if "Broadcast" in p]

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from weftwork.functions.text import has_text
 from weftwork.llm import canonical
 from weftwork.operators.components import connected_components
-from weftwork.session import written
+from weftwork.session import shuffled, written
 
 #: Given names with their short and pet forms.
 GIVEN = {
@@ -462,9 +462,10 @@ def entities(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
     said = profiles.select("profile", "kind", "context", "stem", "n")
 
     def candidates(mine):
-        pairs = mine.select("key", "profile").join(mine.select("key", F.col("profile").alias("c_profile")), "key").where("profile <> c_profile").select("profile", "c_profile").distinct()
+        others = shuffled(mine.select("key", F.col("profile").alias("c_profile")))
+        pairs = mine.select("key", "profile").join(others, "key").where("profile <> c_profile").select("profile", "c_profile").distinct()
         theirs = said.select(F.col("profile").alias("c_profile"), F.col("context").alias("c_context"), F.col("stem").alias("c_stem"), F.col("n").alias("c_n"))
-        return pairs.join(said, "profile").join(theirs, "c_profile")
+        return pairs.join(shuffled(said), "profile").join(shuffled(theirs), "c_profile")
 
     by_stem = candidates(keys).where("context = c_context").withColumn("cost", _cost("c_stem", "stem")).where(F.col("cost") <= EDIT)
     by_context = candidates(profiles.withColumn("rest", _remains(F.col("context"))).withColumn("key", F.xxhash64("kind", "stem", "rest")))
@@ -476,12 +477,12 @@ def entities(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
     posterior = F.log(F.col("c_n") / (F.col("c_n") + 1)) + PENALTY * (EDIT - F.col("cost"))
     links = close.where(posterior > odds).groupBy("profile").agg(F.max_by("c_profile", F.struct(F.log("c_n") - PENALTY * F.col("cost"), "c_profile")).alias("c_profile"))
     joined = connected_components(links.select(F.col("profile").alias("src"), F.col("c_profile").alias("dst")))
-    named = profiles.join(joined.select(F.col("vertex").alias("profile"), "component"), "profile", "left").select(
+    named = profiles.join(shuffled(joined.select(F.col("vertex").alias("profile"), "component")), "profile", "left").select(
         "kind", "context", "stem", "n", F.coalesce("component", "profile").alias("entity")
     )
     named = written(named, "entities")
 
-    whole = read.where(full).select("label", "n", "kind", "stem", F.col("contexts")[0].alias("context")).join(named.drop("n"), ["kind", "context", "stem"])
+    whole = read.where(full).select("label", "n", "kind", "stem", F.col("contexts")[0].alias("context")).join(shuffled(named.drop("n")), ["kind", "context", "stem"])
 
     # partial readings: one for each kind, stem and set of contexts
     partial = read.where(~full).select("kind", "stem", "contexts").distinct()
@@ -500,13 +501,13 @@ def entities(nodes: DataFrame, vocab: DataFrame) -> DataFrame:
     offered = offered.select(F.xxhash64("kind", "context", "rest").alias("key"), F.col("kind").alias("c_kind"), "c_context", "c_stem", "entity")
     fits = F.when(F.col("head").isNull(), F.col("c_context") == F.col("wanted")).otherwise(F.startswith(F.col("c_context"), F.col("head")))
     of_kind = F.col("kind") == F.col("c_kind")
-    tries = asked.drop("context", "rest").join(offered, "key").where(of_kind & fits).select("kind", "stem", "contexts", "c_stem", "entity").distinct()
-    tries = tries.withColumn("cost", _cost("c_stem", "stem")).where(F.col("cost") <= EDIT).join(prior, "entity")
+    tries = asked.drop("context", "rest").join(shuffled(offered), "key").where(of_kind & fits).select("kind", "stem", "contexts", "c_stem", "entity").distinct()
+    tries = tries.withColumn("cost", _cost("c_stem", "stem")).where(F.col("cost") <= EDIT).join(shuffled(prior), "entity")
     tries = tries.where((F.col("cost") == 0) | (PENALTY * (EDIT - F.col("cost")) > odds))
     posterior = F.log("prior") - PENALTY * F.col("cost")
     best = tries.groupBy("kind", "stem", "contexts").agg(F.max_by("entity", F.struct(posterior, "entity")).alias("entity"))
     alone = F.concat_ws("|", "kind", F.array_join("contexts", "/"), "stem", F.lit("?"))
-    parts = read.where(~full).join(best, ["kind", "stem", "contexts"], "left").select("label", F.coalesce("entity", alone).alias("entity"), "n")
+    parts = read.where(~full).join(shuffled(best), ["kind", "stem", "contexts"], "left").select("label", F.coalesce("entity", alone).alias("entity"), "n")
     return written(whole.select("label", "entity", "n").unionByName(parts), "members")
 
 
@@ -523,13 +524,13 @@ def variant_pairs(members: DataFrame) -> DataFrame:
     them with all; single spellings do not reach the join.
     """
     sizes = members.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
-    rows = members.select("entity", "label").join(sizes, "entity")
+    rows = members.select("entity", "label").join(shuffled(sizes), "entity")
     left = rows.select("entity", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int").alias("block"), F.col("label").alias("label_a"))
     right = rows.select("entity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("label").alias("label_b"))
-    return left.join(right, ["entity", "block"]).where("label_a < label_b").select("label_a", "label_b")
+    return left.join(shuffled(right), ["entity", "block"]).where("label_a < label_b").select("label_a", "label_b")
 
 
 def canonical_spellings(members: DataFrame) -> DataFrame:
     """``label, canonical``: each spelling with the most frequent one of its entity, ties to the greater in byte order."""
     best = members.groupBy("entity").agg(F.max_by("label", F.struct("n", "label")).alias("canonical"))
-    return members.join(best, "entity").select("label", "canonical")
+    return members.join(shuffled(best), "entity").select("label", "canonical")

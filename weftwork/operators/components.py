@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.session import written
+from weftwork.session import shuffled, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -25,17 +25,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     labels = written(both.groupBy("src").agg(F.min("dst").alias("n")).select(F.col("src").alias("vertex"), F.least("src", "n").alias("component")), "labels")
     for _ in range(max_rounds):
         near = (
-            both.join(labels.select(F.col("vertex").alias("dst"), F.col("component").alias("theirs")), "dst")
+            both.join(shuffled(labels.select(F.col("vertex").alias("dst"), F.col("component").alias("theirs"))), "dst")
             .groupBy(F.col("src").alias("vertex"))
             .agg(F.min("theirs").alias("theirs"))
         )
-        seen = labels.join(near, "vertex").select("vertex", "component", F.least("component", "theirs").alias("theirs"))
+        seen = labels.join(shuffled(near), "vertex").select("vertex", "component", F.least("component", "theirs").alias("theirs"))
         # a whole tree moves where any of its vertices sees a smaller label; labels that are their own root and see
         # none need no lookup, so the vertices of a giant component meet no hot key once it is one
         moved = seen.where("theirs < component").select("component", F.col("theirs").alias("root"))
         jumps = labels.where("vertex <> component").select(F.col("vertex").alias("component"), F.col("component").alias("root"))
         roots = moved.unionByName(jumps).groupBy("component").agg(F.min("root").alias("root"))
-        hooked = written(seen.join(roots, "component", "left").select("vertex", F.col("component").alias("old"), F.least("theirs", "root").alias("component")), "labels")
+        hooked = written(seen.join(shuffled(roots), "component", "left").select("vertex", F.col("component").alias("old"), F.least("theirs", "root").alias("component")), "labels")
         labels = hooked.select("vertex", "component")
         if hooked.where("old <> component").isEmpty():
             return labels

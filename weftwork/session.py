@@ -93,6 +93,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join whose sides both grow with the input, so that neither is broadcast.
+
+    Spark estimates the size of a side from compressed files and takes an explode for one
+    row each. What it holds for small can be a hundred times as large once it is in the
+    memory of the driver, which builds every broadcast.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared folder and read back, for results that several branches read."""
     spark = df.sparkSession
